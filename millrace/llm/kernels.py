@@ -89,7 +89,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
             x = np.zeros(1, U64)
             for j in range(c):
                 x = mix(x + wh[at + j] + U64(j + 1))
-            out.append(mix(x + U64(c) * U64(0xD1B54A32D192ED03)))
+            out.append(mix(x + U64(int(c) * 0xD1B54A32D192ED03 % (1 << 64))))
         else:
             out.append(np.empty(0, U64))
         at += c
