@@ -151,3 +151,42 @@ def summary(m: Mix) -> DataFrame:
     got = m.taken().groupBy("s", "at").agg(F.sum(F.col("hi") - F.col("lo")).alias("sum"))
     out = m.docs.join(got, ["s", "at"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("sum", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("taken"))
+
+
+def mixed_documents(df: DataFrame, m: Mix) -> DataFrame:
+    """The mix as documents: the columns of df, one row for each pass over a source that takes words of the
+    document. A pass that takes all words keeps the text as it is, one that takes some keeps the stretches
+    from first to last word taken, a line each. n_chars, if there, is the new length."""
+    import re
+
+    import pandas as pd
+
+    word = re.compile(WORD)
+    got = m.taken().groupBy("doc_id", "s", "at", "epoch").agg(F.sum(F.col("hi") - F.col("lo")).alias("__n"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__cut"))
+    keys = m.docs.select("s", "at", F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("size").alias("__size")).filter("__size > 0")
+    got = got.drop("doc_id").join(keys, ["s", "at"]).select("__id", "__row", "epoch", F.when(F.col("__n") < F.col("__size"), F.col("__cut")).alias("__cut"))
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
+        def one(t, c):
+            if c is None:
+                return t
+            at, runs = [x.span() for x in word.finditer(t)], []
+            for x in c:
+                if runs and runs[-1][1] == x["lo"]:
+                    runs[-1][1] = x["hi"]
+                else:
+                    runs.append([x["lo"], x["hi"]])
+            return "\n".join(t[at[a][0] : at[z - 1][1]] for a, z in runs)
+
+        return pd.Series([one(*x) for x in zip(text, cuts)], dtype=object)
+
+    rows = df.withColumn("__row", F.xxhash64("text"))
+    twice = keys.groupBy("__id", "__row").count().filter("count > 1").limit(1).count()
+    if twice:  # repeated rows each have their own place in the mix
+        rows = rows.dropDuplicates(["doc_id", "__row"])
+    out = rows.join(got, rows["doc_id"].eqNullSafe(got["__id"]) & (rows["__row"] == got["__row"]))
+    out = out.select(*[df[c] for c in df.columns if c != "text"], cut(rows["text"], "__cut").alias("text"))
+    if "n_chars" in df.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
+    return out.select(*df.columns)

@@ -251,3 +251,13 @@ def brute(texts: dict, k: int = 4, num: int = 85, den: int = 100) -> dict:
                 p, q = find(ids[a]), find(ids[b])
                 root[max(p, q)] = min(p, q)
     return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def representatives(df: DataFrame, **kw) -> DataFrame:
+    """The rows of df whose document is the smallest of its component; rows that repeat id and text are one."""
+    found = join(df, **kw)
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    out = df.join(keep, df["doc_id"].cast("bigint").eqNullSafe(keep["__id"]), "left_semi")
+    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        out = out.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")
+    return out
