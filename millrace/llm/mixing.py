@@ -12,7 +12,10 @@ the range), so each pass takes a block at most once. Slots and blocks meet in a
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,10 +160,6 @@ def mixed_documents(df: DataFrame, m: Mix) -> DataFrame:
     """The mix as documents: the columns of df, one row for each pass over a source that takes words of the
     document. A pass that takes all words keeps the text as it is, one that takes some keeps the stretches
     from first to last word taken, a line each. n_chars, if there, is the new length."""
-    import re
-
-    import pandas as pd
-
     word = re.compile(WORD)
     got = m.taken().groupBy("doc_id", "s", "at", "epoch").agg(F.sum(F.col("hi") - F.col("lo")).alias("__n"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__cut"))
     keys = m.docs.select("s", "at", F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("size").alias("__size")).filter("__size > 0")

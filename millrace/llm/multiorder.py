@@ -38,7 +38,7 @@ def order_key(tokens: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     """Sort key of tokens under order k: count class first, then a hash of its own."""
     c = counts[(tokens >> U64(64 - SKETCH_BITS)).astype(np.int64)]
     cls = np.log2(np.maximum(c, 1)).astype(np.uint8).astype(U64) if k == 0 else (np.log2(np.maximum(c, 1)) / 2).astype(np.uint8).astype(U64)
-    return (cls << U64(58)) | (mix(tokens + U64(k + 1) * U64(0xA24BAED4963EE407)) >> U64(6))
+    return (cls << U64(58)) | (mix(tokens + U64((k + 1) * 0xA24BAED4963EE407 % (1 << 64))) >> U64(6))
 
 
 def set_digest(tokens: np.ndarray, seed: int) -> tuple[int, int]:
