@@ -49,13 +49,13 @@ MISSING = "(SELECT event_id, user_id, ts, CASE WHEN event_id % 7 <> 0 THEN value
 
 # ---- aggregates and statistics ----------------------------------------------------------------------
 
-_real = lambda c: f"SELECT '{c}' AS \"column\", 'real' AS kind, count({c}) AS n, count(*) - count({c}) AS missing, round(avg({c}), 6) AS mean, round(coalesce(stddev_samp({c}), 0), 6) AS dev, round(median({c}), 6) AS median, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, CAST(NULL AS BIGINT) AS n_values, CAST(NULL AS DOUBLE) AS entropy, CAST(NULL AS VARCHAR) AS mode, CAST(NULL AS DOUBLE) AS mode_pct FROM lineitem"
-_nom = lambda c: f"SELECT '{c}' AS \"column\", 'nominal' AS kind, CAST(sum(n) AS BIGINT) AS n, (SELECT count(*) - count({c}) FROM lineitem) AS missing, NULL, NULL, NULL, NULL, NULL, count(*) AS n_values, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy, (array_agg(v ORDER BY n DESC, v))[1] AS mode, round(max(n) * 100.0 / sum(n), 6) AS mode_pct FROM (SELECT {c} AS v, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1)"
+_real = lambda c: f"SELECT '{c}' AS \"column\", 'real' AS kind, count({c}) AS n, count(*) - count({c}) AS missing, round(avg({c}), 6) AS mean, round(coalesce(stddev_samp({c}), 0), 6) AS dev, round(median({c}), 6) AS median, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS n_values, CAST(NULL AS DOUBLE) AS entropy, CAST(NULL AS VARCHAR) AS mode, CAST(NULL AS DOUBLE) AS mode_pct FROM lineitem"
+_nom = lambda c: f"SELECT '{c}' AS \"column\", 'nominal' AS kind, CAST(sum(n) AS BIGINT) AS n, (SELECT count(*) - count({c}) FROM lineitem) AS missing, NULL, NULL, NULL, NULL, NULL, CAST(count(*) AS DOUBLE) AS n_values, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy, (array_agg(v ORDER BY n DESC, v))[1] AS mode, round(max(n) * 100.0 / sum(n), 6) AS mode_pct FROM (SELECT {c} AS v, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1)"
 
 
 @query(" UNION ALL ".join([*map(_real, NUMS), *map(_nom, ("l_returnflag", "l_linestatus"))]))
 def stats_lineitem(t):
-    return r6(stats.profile(t("lineitem"), [*NUMS, "l_returnflag", "l_linestatus"]))
+    return r6(stats.profile(t("lineitem"), [*NUMS, "l_returnflag", "l_linestatus"]).withColumn("n_values", F.col("n_values").cast("double")))
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({c}) AS min, max({c}) AS max, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median FROM lineitem" for c in NUMS))
