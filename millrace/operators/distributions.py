@@ -72,8 +72,8 @@ def sample_categorical(weights: DataFrame, key: str, weight: str, n: int, seed:
     return u.withColumn("cell", cell(F.col("u"))).join(c, "cell").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", key)
 
 
-def noise(spark: SparkSession, n: int, kind: str, seed: int = 0, **p) -> DataFrame:
-    """(id, value) of n draws of a distribution, made in parallel; reruns agree."""
+def noise(spark: SparkSession, rows: int, kind: str, seed: int = 0, **p) -> DataFrame:
+    """(id, value) of so many draws of a distribution, made in parallel; reruns agree."""
     draw = {
         "beta": lambda g, k: g.beta(p["a"], p["b"], k), "binomial": lambda g, k: g.binomial(p["n"], p["p"], k), "categorical": lambda g, k: g.choice(len(p["shares"]), k, p=p["shares"]),
         "cauchy": lambda g, k: p.get("median", 0) + p.get("scale", 1) * g.standard_cauchy(k), "chisquare": lambda g, k: g.chisquare(p["df"], k), "exponential": lambda g, k: g.exponential(1 / p.get("rate", 1), k),
@@ -88,7 +88,7 @@ def noise(spark: SparkSession, n: int, kind: str, seed: int = 0, **p) -> DataFra
             i = b.column(0).to_numpy()
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "value": pa.array(np.asarray(draw(np.random.default_rng([seed, int(i[0])]), len(i)), float))}) if len(i) else pa.RecordBatch.from_pydict({"id": b.column(0), "value": pa.array([], pa.float64())})
 
-    return spark.range(n).mapInArrow(run, "id bigint, value double")
+    return spark.range(rows).mapInArrow(run, "id bigint, value double")
 
 
 def _impulse(u: np.ndarray, steepness: float) -> np.ndarray:

@@ -41,7 +41,7 @@ def with_bucket(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
         mid = (lo + hi) // 2
         return F.when(x <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return df.withColumn(BUCKET, F.coalesce(tree(0, len(cuts)), F.lit(0)).cast("int"))
+    return df.withColumn(BUCKET, F.when(x.isNull(), F.lit(0)).otherwise(tree(0, len(cuts))).cast("int"))
 
 
 def _orders(keys: list[str]) -> list[Column]:
