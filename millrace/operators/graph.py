@@ -201,3 +201,34 @@ def atomic_cycles(edges: list[tuple[int, int]], longest: int = 12) -> list[list[
     for v in sorted(adj):
         grow([v])
     return out
+
+
+def shortcut_edges(edges: list[tuple[int, int]], longest: int = 8) -> list[tuple[int, int]]:
+    """Edges of an undirected neighbour graph whose ends are more than ``longest`` - 1 steps apart without them:
+    they close a long cycle and are likely shortcuts. Bridges are none."""
+    adj: dict[int, set[int]] = {}
+    for a, b in edges:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    out = []
+    for a, b in edges:
+        dist, queue = {a: 0}, deque([a])
+        while queue and b not in dist:
+            v = queue.popleft()
+            for w in adj[v]:
+                if w not in dist and {v, w} != {a, b}:
+                    dist[w] = dist[v] + 1
+                    queue.append(w)
+        if b in dist and dist[b] >= longest:
+            out.append((a, b))
+    return out
+
+
+def cycle_cut(edges: list[tuple[int, int, float]], longest: int = 8) -> list[tuple[int, int, float]]:
+    """The edges left after each long chordless cycle is opened at its longest edge; costs are lengths."""
+    left = list(edges)
+    while True:
+        bad = set(shortcut_edges([(a, b) for a, b, _ in left], longest))
+        if not bad:
+            return left
+        left.remove(max((e for e in left if (e[0], e[1]) in bad), key=lambda e: e[2]))
