@@ -10,32 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import langid, mixing, multiorder, spviterbi, suffixes, support
-from millrace.llm.queries import table, tokenizer_path
+from millrace.llm.queries import prepare, table, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, of no known language or of doubtful language go."""
+    prepare(spark)
     return langid.identify(docs).filter("lang_kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest id stays."""
+    prepare(spark)
     return multiorder.representatives(docs, k=5, num=80, den=100)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out; a document of which no word is left goes."""
+    prepare(spark)
     out = suffixes.clean(docs).filter(F.regexp_count("text", F.lit(mixing.WORD)) > 0)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document stands once for each pass that takes words of it."""
+    prepare(spark)
     return mixing.mixed_documents(docs, mixing.mix(docs, block=512))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids of every row."""
+    prepare(spark)
     out = spviterbi.encode(docs, tokenizer_path("piece_bpe_32k.model"))
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids")
 

@@ -119,9 +119,9 @@ def posterior(docs: DataFrame, model: TextModel, levels: list[str], suffix: str
     Unknown or null declarations and suffixes say nothing. Ties go to the first language by name. Without
     any language lang_id is null and the posterior 0.
     """
-    table, overall = host_priors(docs, model.languages, levels)
     if not model.languages:
         return docs.select("*", F.lit(None).cast("string").alias("lang_id"), F.lit(0.0).alias("lang_posterior"), F.lit(False).alias("lang_explained"))
+    table, _ = host_priors(docs, model.languages, levels)
     keys = table.select(*[F.col(k).alias(f"__{k}") for k in levels], F.col("p").alias("__p"))
     keys, _ = support.written(keys, "host-priors")
     if keys.count() <= 20_000:  # a bounded table goes to all machines; a larger one joins by shuffle

@@ -9,8 +9,13 @@ from ..session import ship
 from . import dac, iblt, langid, lattice, mixing, multiorder, nnpu, spviterbi, suffixes, support, urlrep
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
     ship(spark)
+    support.small_batches(spark)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -43,6 +43,15 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python workers ``rows`` at a time, unless the session asks for fewer: a batch of long
+    documents then takes some MB, not hundreds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= rows:
+        spark.conf.set(name, str(rows))
+
+
 class Scratch:
     """Tables that live as long as the with-block."""
 
@@ -80,7 +89,8 @@ def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
 
 
 def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """Ordinal of the range that holds the key: how many bounds lie strictly below it, by binary search."""
+    """Ordinal of the range that holds the key: how many bounds lie strictly below it, by binary search;
+    null is in the lowest."""
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -88,7 +98,7 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
         mid = (lo + hi) // 2
         return F.when(key <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return F.coalesce(tree(0, len(bounds)), F.lit(0)).cast("int")
+    return F.when(key.isNull(), F.lit(0)).otherwise(tree(0, len(bounds))).cast("int")
 
 
 def prefix_sum(df: DataFrame, group: list[str], order: str, value: str, out: str, parts: int | None = None, ties: list[str] | None = None) -> DataFrame:
