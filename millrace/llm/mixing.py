@@ -38,7 +38,7 @@ def targets(sizes: list[int], weights: list[float], max_epochs: float = 3.0) ->
                 out[i] = left * weights[i] / w
             break
         for i in full:
-            out[i] = max_epochs * sizes[i]
+            out[i] = float(max_epochs * sizes[i])
             left -= out[i]
         open_ = [i for i in open_ if i not in set(full)]
     return out
@@ -108,7 +108,8 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """Slots joined with blocks by index: (doc_id, s, at, shard, epoch, block, lo, hi)."""
-        return self.slots.join(self.pieces(), ["s", "block"]).select("doc_id", "s", "at", "shard", "epoch", "block", "lo", "hi")
+        # merged, never broadcast: the planner takes the slots, made from a short table, for few
+        return self.slots.join(self.pieces().hint("merge"), ["s", "block"]).select("doc_id", "s", "at", "shard", "epoch", "block", "lo", "hi")
 
 
 def mix(df: DataFrame, block: int = 64, shard_slots: int = 4096, max_epochs: int = 3, seed: int = 17, weights=None) -> Mix:
