@@ -27,7 +27,7 @@ from . import support
 from .kernels import U64, mix, prefix_hash, span_hash
 
 LENGTH, GRAM = 200, 64
-_STEP = 1 << 20  # string starts of one text handled at once; also the bound of positions in a key
+_STEP = 1 << 18  # bytes handled at once; positions in them fit into the low 20 bits of a key
 _SHALLOW = 2  # symbols of 8 bytes
 
 
@@ -35,7 +35,7 @@ _SHALLOW = 2  # symbols of 8 bytes
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of texts together shorter than 2^20 bytes: (text number, gram hash, stretch hash, anchor, first
+    """Of texts together no longer than 2^20 bytes: (text number, gram hash, stretch hash, anchor, first
     start, last start), positions within the concatenation."""
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -200,35 +200,52 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         return repeated_spans(docs, length, gram, hot, seed + 1)  # two texts of one key
 
     def find(batches):
+        """Anchors of a task. What repeats inside the task is settled here: one row of each (g, h) goes on
+        marked ``sure``, the others only carry their own stretch and are dealt evenly."""
+        kept, n = [], 0
         for b in batches:
             held, keys, offs, size = [], [], [], 0
 
             def flush():
                 text, g, stretch, a, lo, hi = anchors(held, length, gram)
-                if not len(text):
-                    return None
                 base = np.concatenate(([0], np.cumsum([len(x) for x in held])[:-1]))
                 pos = a - base[text] + np.array(offs)[text]
-                return pa.RecordBatch.from_pydict({"g": pa.array(g), "h": pa.array(stretch), "t": pa.array(np.array(keys)[text]), "p": pa.array((pos << 16) | ((a - lo) << 8) | (hi - lo))})
+                kept.append((g, stretch, np.array(keys)[text], (pos << 18) | ((a - lo) << 10) | ((hi - lo) << 2)))
+                return len(g)
 
             for t, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 for o, part in pieces_of(raw.as_py().encode(), length):
                     if size + len(part) >= _STEP:
-                        if (x := flush()) is not None:
-                            yield x
+                        n += flush()
                         held, keys, offs, size = [], [], [], 0
                     held.append(part)
                     keys.append(t)
                     offs.append(o)
                     size += len(part)
-            if held and (x := flush()) is not None:
-                yield x
+            if held:
+                n += flush()
+            if n > 400_000:
+                yield settled(kept)
+                kept, n = [], 0
+        if n:
+            yield settled(kept)
+
+    def settled(kept):
+        g, h, t, p = (np.concatenate(x) for x in zip(*kept))
+        order = np.lexsort((p, t, h, g))
+        g, h, t, p = g[order], h[order], t[order], p[order]
+        same = np.concatenate(([False], (g[1:] == g[:-1]) & (h[1:] == h[:-1])))
+        p = p | np.where(same, 2, np.where(np.concatenate((same[1:], [False])), 1, 0))
+        spread = mix(t.view(U64) + mix(p.view(U64))).view(np.int64)
+        fresh = ~same | np.concatenate(([True], (t[1:] != t[:-1]) | (p[1:] >> 2 != p[:-1] >> 2)))  # copies of one text say the same
+        return pa.RecordBatch.from_pydict({"g": pa.array(np.where(same, spread, g)[fresh]), "h": pa.array(np.where(same, spread, h)[fresh]), "t": pa.array(t[fresh]), "p": pa.array(p[fresh])})
 
     found = keyed.mapInArrow(find, "g bigint, h bigint, t bigint, p bigint")
     by_g, by_h = Window.partitionBy("g"), Window.partitionBy("g", "h")
-    same = found.repartition(parts, "g").withColumn("c", F.count(F.lit(1)).over(by_h)).withColumn("i", F.row_number().over(by_h.orderBy("t", "p")))
+    own = F.col("p").bitwiseAND(2) > 0
+    same = found.repartition(parts, "g").withColumn("c", F.count(F.lit(1)).over(by_h) + F.max(F.col("p").bitwiseAND(1)).over(by_h)).withColumn("i", F.row_number().over(by_h.orderBy("t", "p")))
     same = same.withColumn("least", F.min("c").over(by_g)).withColumn("one", F.min("h").over(by_g) == F.max("h").over(by_g)).withColumn("v", F.sum((F.col("i") == 1).cast("int")).over(by_g))
-    same = same.filter("c > 1 or not one").select("g", "h", "t", "p", (F.col("c") > 1).alias("whole"), (~F.col("one") & (F.col("least") == 1) & (F.col("i") == 1)).alias("ask"), (F.col("v") > hot).alias("hot"))
+    same = same.filter((F.col("c") > 1) | own | ~F.col("one")).select("g", "h", "t", F.shiftright("p", 2).alias("p"), ((F.col("c") > 1) | own).alias("whole"), (~own & ~F.col("one") & (F.col("least") == 1) & (F.col("i") == 1)).alias("ask"), (F.col("v") > hot).alias("hot"))
     same, p1 = support.written(same, "anchors")
     pos, back, span = F.shiftright("p", 16), F.shiftright("p", 8).bitwiseAND(255), F.col("p").bitwiseAND(255)
     whole = same.filter("whole").select("t", (pos - back).alias("lo"), (pos - back + span + length).alias("hi"))
@@ -303,7 +320,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     twice = one.groupBy("g", "s", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.bool_or("sure").alias("any")).filter("n > 1 or any").drop("n", "any")
     at = F.shiftright("p", 16)
     singles = one.join(twice, ["g", "s", "x", "y"]).select("t", (at - F.col("s")).alias("lo"), (at - F.col("s") + length).alias("hi"))
-    return whole.union(some).union(singles).groupBy("t").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), seed
+    # copies of one text have one key: its stretches are kept once
+    spans = whole.union(some).union(singles).groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("x"))
+    return spans.select("t", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi")), seed
 
 
 def covered(size: int, lo, hi) -> np.ndarray:
@@ -345,18 +364,20 @@ def clean(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 4096
     """The table with repeated bytes cut out of ``text``. Characters that are cut in the middle go as a
     whole; null text stays null."""
 
-    @F.pandas_udf("string")
-    def kept(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-        def one(t, a, z):
-            if t is None or a is None:
-                return t
-            raw = t.encode()
-            return np.frombuffer(raw, np.uint8)[~covered(len(raw), a, z)].tobytes().decode("utf-8", "ignore")
+    cols = df.columns
+    at, n = cols.index("text"), len(cols)
 
-        return pd.Series([one(*x) for x in zip(text, lo, hi)], dtype=object)
-
-    out = _joined(df, length, gram, hot).withColumn("text", kept("text", "__lo", "__hi"))
-    return out.select(*df.columns)
+    def run(batches):
+        for b in batches:
+            texts = []
+            for t, lo, hi in zip(b.column(at).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist()):
+                if t is not None and lo is not None:
+                    raw = t.encode()
+                    t = np.frombuffer(raw, np.uint8)[~covered(len(raw), lo, hi)].tobytes().decode("utf-8", "ignore")
+                texts.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, b.column(i).type) if i == at else b.column(i) for i in range(n)], b.schema.names[:n])
+
+    return _joined(df, length, gram, hot).select(*cols, "__lo", "__hi").mapInArrow(run, df.schema)
 
 
 def brute(texts: dict, length: int = LENGTH) -> dict:
