@@ -3,22 +3,26 @@
 Two sets of sizes x and y with Jaccard similarity at least t share at least a = ceil(t / (1 + t) (x + y))
 members, so under any one order of all tokens their prefixes of size n - ceil(t n) + 1 share a token, and
 at least a - max(x - prefix, y - prefix) tokens. Candidates must pass that bound under every one of
-several orders before the whole sets are compared. Each order puts rare tokens first: by the class of a
-token's count in a sketch of all documents' tokens, then by its own hash. Any order gives right results;
-the sketch (fixed size) only makes prefixes rare, so that frequent passages meet nowhere.
+several orders before the whole sets are compared.
+
+The first order makes candidates. It begins with the tokens of a fixed part of the hash space (level 0),
+rare ones first; then come all others by hash, and last those that a sketch of all documents' tokens
+(fixed size) finds in more than ``HEAVY`` of the documents. Counts within level 0 are exact: its tokens
+are dealt by token once, and what only one set has is dropped there. A set with a prefix's worth of such
+lonely tokens links with nothing and is done. The other orders are by hash.
 
 Documents of equal sets are one node. Links inside a component need not all be found: first every node
 is compared with the leaders it meets (a few rounds, components in between), which joins large groups
-of near copies in as many comparisons as members; then all pairs that still lie in different components
-are generated, filtered by all orders and compared. So components are exact, and a group of k near
-copies costs about k comparisons, not k squared.
+of near copies in some comparisons a member (met in prefix tokens, and in equal heads under further orders);
+then all pairs that still lie in different components are generated, filtered by all orders and compared. So components are exact, and a group of k near
+copies costs some k comparisons, not k squared.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import support
@@ -27,6 +31,11 @@ from .kernels import U64, mix, shingle_sets
 
 ORDERS = 3
 SKETCH_BITS = 22
+#: Level 0: this share of the tokens, by hash; a little more than the prefix of a set at 0.8 or more.
+LEVEL0 = {80: 0.27, 85: 0.22}
+HEAVY = 0.005
+#: Heads: sets whose ``HEAD`` first tokens under one of ``HEADS`` further orders agree are likely links.
+HEADS, HEAD = 16, 20
 _CHUNK = 1 << 16
 
 
@@ -34,11 +43,23 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
-def order_key(tokens: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
-    """Sort key of tokens under order k: count class first, then a hash of its own."""
-    c = counts[(tokens >> U64(64 - SKETCH_BITS)).astype(np.int64)]
-    cls = np.log2(np.maximum(c, 1)).astype(np.uint8).astype(U64) if k == 0 else (np.log2(np.maximum(c, 1)) / 2).astype(np.uint8).astype(U64)
-    return (cls << U64(58)) | (mix(tokens + U64((k + 1) * 0xA24BAED4963EE407 % (1 << 64))) >> U64(6))
+def order_key(tokens: np.ndarray, k: int) -> np.ndarray:
+    """Sort key of tokens under hash order k."""
+    return mix(tokens + U64((k + 1) * 0xA24BAED4963EE407 % (1 << 64)))
+
+
+def sketch_at(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def heads(tokens: np.ndarray) -> list[int]:
+    """For each further order a hash of the order's number and the first tokens under it."""
+    out = []
+    for k in range(HEADS):
+        key = order_key(tokens, 100 + k)
+        first = tokens if len(tokens) <= HEAD else tokens[np.argpartition(key, HEAD - 1)[:HEAD]]
+        out.append(int(mix(np.bitwise_xor.reduce(mix(first)) ^ U64(k + 1)).view(np.int64)))
+    return out
 
 
 def set_digest(tokens: np.ndarray, seed: int) -> tuple[int, int]:
@@ -71,11 +92,11 @@ def join(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, rounds: int =
         counts = np.zeros(size, np.uint32)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 512):
-                sets = shingle_sets(texts[at : at + 512], k)
+            for at in range(0, len(texts), 100):
+                sets = shingle_sets(texts[at : at + 100], k)
                 dig = [set_digest(s, seed) for s in sets]
                 if any(len(s) for s in sets):
-                    np.add.at(counts, (np.concatenate(sets) >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                    np.add.at(counts, sketch_at(np.concatenate(sets)), 1)
                 m = len(sets)
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(at, m), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([d[0] for d in dig], pa.int64()), "more": pa.array([d[1] for d in dig], pa.int64()), "chunk": pa.nulls(m, pa.int32()), "counts": pa.nulls(m, pa.binary())})
         for c in np.flatnonzero(counts.reshape(-1, _CHUNK).any(1)):
@@ -100,39 +121,62 @@ def join(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, rounds: int =
     table = np.zeros(size, np.uint32)
     for r in first.filter("chunk is not null").select("chunk", "counts").repartition(min(parts, size // _CHUNK), "chunk").mapInArrow(add_up, "chunk int, counts binary").toLocalIterator():
         table[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counts"], np.uint32)
-    shared = spark.sparkContext.broadcast(table)  # 4 x 2^SKETCH_BITS bytes, whatever the input
+    n_docs = digests.count()
+    # one bit a counter, whatever the input
+    heavy_at = spark.sparkContext.broadcast(np.packbits(table > max(1000, HEAVY * n_docs)))
+    share = LEVEL0.get(num * 100 // den, 1.6 * (1 - num / den))
+    below = U64(int(min(1.0, share) * (2**64 - 1)))
 
     def prefixes(batches):
-        counts = shared.value
+        """All tokens of level 0, and beyond as far as the prefix may reach."""
+        heavy = np.unpackbits(heavy_at.value).astype(bool)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 512):
-                nodes, tokens = [], []
-                for s in shingle_sets(texts[at : at + 512], k):
+            for at in range(0, len(texts), 100):
+                nodes, tokens, levels = [], [], []
+                for s in shingle_sets(texts[at : at + 100], k):
                     if not len(s):
                         continue
-                    p = prefix_size(len(s), num, den)
-                    key = order_key(s, counts, 0)
-                    tokens.append(s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s)
-                    nodes.append((set_digest(s, seed)[0], p))
+                    p, key = prefix_size(len(s), num, den), order_key(s, 0)
+                    level = np.where(heavy[sketch_at(s)], 2, np.where(key < below, 0, 1)).astype(np.int8)
+                    m0 = int((level == 0).sum())
+                    if m0 >= p:
+                        pick = np.flatnonzero(level == 0)
+                    else:
+                        pick = np.lexsort((key, level))[:p]
+                    tokens.append(s[pick])
+                    levels.append((level[pick].astype(np.int64) << 40) | len(pick))
+                    nodes.append((set_digest(s, seed)[0], len(pick)))
                 if nodes:
-                    yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens).view(np.int64)), "node": pa.array(np.repeat(np.array([x[0] for x in nodes], np.int64), [x[1] for x in nodes]))})
-
-    # one shuffle; a token is live if two different sets have it in their prefixes
-    rows = docs.mapInArrow(prefixes, "token bigint, node bigint")
-    live = work.keep(_live(rows, parts), "live")
+                    yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens).view(np.int64)), "node": pa.array(np.repeat(np.array([x[0] for x in nodes], np.int64), [x[1] for x in nodes])), "info": pa.array(np.concatenate(levels))})
 
+    # one shuffle; a token is live if two different sets have it
+    rows = docs.mapInArrow(prefixes, "token bigint, node bigint, info bigint")
+    by = Window.partitionBy("token")
+    live = rows.repartition(parts, "token").dropDuplicates(["token", "node"]).withColumn("df", F.count(F.lit(1)).over(by)).filter("df > 1")
+    live = work.keep(live, "shared")
     sizes = digests.filter("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("doc"), F.first("n").alias("n"))
-    alive = work.keep(live.select("node").distinct().join(sizes, "node"), "alive")
+    p = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    # of the given tokens those that are not live stand first; the prefix ends after p tokens
+    level, given = F.shiftright("info", 40), F.col("info").bitwiseAND((1 << 40) - 1)
+    alone = given - F.count(F.lit(1)).over(Window.partitionBy("node"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(level, "df", "token"))
+    live = live.join(sizes.select("node", "n"), "node").withColumn("alone", alone).withColumn("rank", rank).filter(F.col("rank") + F.col("alone") <= p)
+    live = live.select("token", "node")
+    live = live.join(live.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token"), "token")
+    live = work.keep(live, "live")
+    alive = work.keep(live.select("node").distinct().join(sizes.select("node", "doc", "n"), "node"), "alive")
+    few = alive.count() <= 500_000  # 12 MB at most go to all machines; else the texts are joined by shuffle
 
     def whole(batches):
-        for b in batches:
+        for b in (x.slice(at, 100) for x in batches for at in range(0, x.num_rows, 100)):
             sets = shingle_sets(b.column(1).to_pylist(), k)
-            yield pa.RecordBatch.from_pydict({"node": b.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": b.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary()), "heads": pa.array([heads(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))})
 
     # each live set once, from one document that has it
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "text").join(alive.select("doc", F.col("node").alias("want"), "n").withColumnRenamed("n", "size"), "doc")
-    sets = keyed.select("want", "text").mapInArrow(whole, "node bigint, n bigint, tokens binary").join(alive.select("node", F.col("n").alias("size")), "node").filter("n = size").select("node", "n", "tokens")
+    want = alive.select("doc", F.col("node").alias("want"))
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "text").join(F.broadcast(want) if few else want, "doc")
+    sets = keyed.select("want", "text").mapInArrow(whole, "node bigint, n bigint, tokens binary, heads array<bigint>").join(alive.select("node", F.col("n").alias("size")), "node").filter("n = size").select("node", "n", "tokens", "heads")
     sets = work.keep(sets.dropDuplicates(["node"]), "alive-sets")
 
     def compare(pairs: DataFrame) -> DataFrame:
@@ -144,12 +188,12 @@ def join(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, rounds: int =
         both = lead.union(follow).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
         def run(batches):
-            counts, name, head = shared.value, None, None
+            name, head = None, None
             memo: dict = {}
 
             def ordered(s):
                 p = prefix_size(len(s), num, den)
-                return [np.sort(s[np.argpartition(order_key(s, counts, o), p - 1)[:p]]) if p < len(s) else s for o in range(ORDERS)], p
+                return [np.sort(s[np.argpartition(order_key(s, o), p - 1)[:p]]) if p < len(s) else s for o in range(ORDERS)], p
 
             for batch in batches:
                 got_a, got_b = [], []
@@ -175,18 +219,27 @@ def join(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, rounds: int =
         return both.mapInArrow(run, "a bigint, b bigint")
 
     links = work.keep(spark.createDataFrame([], "a bigint, b bigint"), "links")
-    now = live.withColumn("comp", F.col("node"))
+    first_of = sets.select("node", F.explode("heads").alias("token"))
+    comp = None
+
+    def named(rows: DataFrame) -> DataFrame:
+        if comp is None:
+            return rows.withColumn("comp", F.col("node"))
+        return rows.join(comp, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
+
     for r in range(rounds):
-        # every node and the smallest node of the smallest component it meets: one candidate a node
-        low = now.groupBy("token").agg(F.min(F.struct("comp", "node")).alias("low"), F.max("comp").alias("top")).filter("low.comp <> top").select("token", F.col("low.node").alias("a"), F.col("low.comp").alias("ac"))
+        # one leader a bucket, another in each round; buckets are prefix tokens first, then heads
+        now = named(live if r == 0 else first_of)
+        low = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "comp", "node")).alias("low"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", F.col("low.node").alias("a"), F.col("low.comp").alias("ac"))
         met = now.join(low, "token").filter("comp <> ac").groupBy("node", "a").agg(F.count(F.lit(1)).alias("c"))
-        best = met.groupBy("node").agg(F.max_by("a", F.struct(F.col("c"), -F.col("a").cast("decimal(20,0)"))).alias("a")).select("a", F.col("node").alias("b"))
-        found = work.keep(compare(best), "links")
+        if r == 0:  # a prefix meets many leaders: the one met most often
+            met = met.groupBy("node").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+        found = work.keep(compare(met.select("a", F.col("node").alias("b"))), "links")
         if not found.limit(1).count():
-            break
+            continue
         links = links.union(found)
         comp = work.keep(components(links), "components")
-        now = work.keep(live.join(comp, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp")), "now")
+    now = work.keep(named(live), "now")
     # the rest: all pairs that meet and lie in different components, if enough of their prefixes is shared
     mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     x = now.join(mixed, "token").join(alive.select("node", "n"), "node").select("token", F.col("node").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"))
@@ -204,15 +257,6 @@ def join(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, rounds: int =
     return out
 
 
-def _live(rows: DataFrame, parts: int) -> DataFrame:
-    """Distinct (token, node) of tokens that more than one node has; one shuffle by token."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("token")
-    dealt = rows.repartition(parts, "token")
-    return dealt.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).filter("lo <> hi").select("token", "node").distinct()
-
-
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
     """Common members of two ascending arrays of distinct tokens."""
     if len(x) > len(y):
