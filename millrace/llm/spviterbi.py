@@ -4,8 +4,9 @@ The best segmentation under additive piece scores. Characters are read one after
 scores of the last ``longest piece`` boundaries are kept. A boundary that every surviving backpointer
 path runs through is final, so all ids up to it are committed and their backpointers forgotten. Such a
 boundary is certain wherever no piece of the vocabulary can span it (before a blank that follows another
-character, and on both sides of a character that stands in no longer piece); texts are read in chunks
-between these, and the ids of short chunks are remembered. Elsewhere the live paths are traced back.
+character, before a mark that follows a letter, and on both sides of a character that stands in no longer
+piece); texts are read in chunks between these, and the ids of short chunks are remembered in two
+generations. Elsewhere the live paths are traced back.
 
 Scores come from the model file. A model whose pieces were made by merging is searched with the same
 scores, so ids equal those of the library when it loads that vocabulary as a unigram model.
@@ -13,7 +14,9 @@ scores, so ids equal those of the library when it loads that vocabulary as a uni
 
 from __future__ import annotations
 
+import math
 import re
+import string
 import zlib
 from functools import lru_cache
 
@@ -30,7 +33,7 @@ _UNKNOWN_PENALTY = 10.0
 class Pieces:
     """The vocabulary of a model file (identity normalisation only)."""
 
-    def __init__(self, path: str | None = None, proto: bytes | None = None, remember: int = 300_000):
+    def __init__(self, path: str | None = None, proto: bytes | None = None, remember: int = 250_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -53,17 +56,19 @@ class Pieces:
         self.ids = {t: (s, i) for t, s, i in usable}
         self.unk_score = min(s for _, s, _ in usable) - _UNKNOWN_PENALTY
         self.longest = max(len(t) for t, _, _ in usable)
-        #: for each first character the lengths of the pieces that begin with it, ascending
-        lengths: dict[str, set[int]] = {}
-        for t, _, _ in usable:
-            lengths.setdefault(t[0], set()).add(len(t))
-        self.lengths = {c: sorted(x) for c, x in lengths.items()}
-        self.cuts_before_blank = not any(_BLANK in t.lstrip(_BLANK) for t, _, _ in usable)
-        inside = {c for t, _, _ in usable if len(t) > 1 for c in t}
-        self.alone = "".join(c for c in "\n\t\r" if c not in inside)
-        own = re.escape(self.alone)
-        self.chunk = re.compile(f"[{own}]|{_BLANK}*[^{_BLANK}{own}]+|{_BLANK}+" if own else f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+", re.S)
+        #: score of each piece, and minus infinity for what only begins one
+        self.begins = {t[:n]: -math.inf for t, _, _ in usable for n in range(1, len(t))} | {t: s for t, s, _ in usable}
+        pairs = {t[i : i + 2] for t, _, _ in usable for i in range(len(t) - 1)}
+        self.cuts_before_blank = not any(a != _BLANK and b == _BLANK for a, b in pairs)
+        inside = {c for x in pairs for c in x}
+        own = re.escape("".join(c for c in "\n\t\r" if c not in inside))
+        letters = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha())
+        after = re.escape("".join(c for c in string.punctuation if not any(x + c in pairs for x in letters)))
+        stop = f"{_BLANK}{own}"
+        cut = f"[^{stop}{letters}]*+[{letters}]++(?=[{after}])|" if after else ""
+        self.chunk = re.compile((f"[{own}]|" if own else "") + f"{_BLANK}*+(?:{cut}[^{stop}]+)|{_BLANK}+", re.S)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.remember = remember
 
     def _emit(self, s: str, a: int, z: int) -> list[int]:
@@ -73,47 +78,51 @@ class Pieces:
         return [self.byte[b] for b in s[a:z].encode()] if self.byte else [self.unk]
 
     def viterbi(self, s: str) -> list[int]:
-        """Ids of one chunk. The earliest start wins among equal scores."""
+        """Ids of one chunk. The earliest start wins among equal scores.
+
+        Boundaries are numbered from the last committed one. A start offers its score plus that of each
+        piece to the piece's end; scores before the current start are forgotten with the next commit.
+        """
         out: list[int] = []
-        base, n, longest = 0, len(s), self.longest  # all ids before base are committed
-        score, back = [0.0], [0]  # of boundary base + k
+        base, n, longest, begins, low = 0, len(s), self.longest, self.begins, -math.inf
+        score, back = [0.0], [0]
+        reach = 0  # the furthest boundary offered to
         for start in range(n):
             k = start - base
-            here = score[k]
-            reach = len(score)
-            if k and k == reach - 1 or k > 2 * longest:  # nothing spans this boundary, or it is time to look for a common one
-                common = start if k == reach - 1 else self._common(back, k, reach)
-                if common:
-                    cut = common - base if k == reach - 1 else common
+            if k and k == reach or k > 4 * longest:  # nothing spans this boundary, or it is time to look for a common one
+                cut = k if k == reach else self._common(back, k, reach + 1)
+                if cut:
                     out += self._walk(s, base, back, cut)
-                    score, back = score[cut:], [max(0, b - cut) for b in back[cut:]]
-                    base += cut
-                    k = start - base
-            single = False
-            for size in self.lengths.get(s[start], ()):
-                if start + size > n:
+                    score, back = score[cut:], [b - cut if b >= cut else min(b, 0) for b in back[cut:]]
+                    base, k, reach = base + cut, k - cut, reach - cut
+            here, to = score[k], min(n, start + longest)
+            if to - base >= len(score):
+                more = to - base + 1 - len(score)
+                score += [low] * more
+                back += [-1] * more
+            at = k
+            for end in range(start + 1, to + 1):
+                v = begins.get(s[start:end])
+                if v is None:
                     break
-                got = self.ids.get(s[start : start + size])
-                if got is None:
-                    continue
-                single |= size == 1
-                self._offer(score, back, k, k + size, here + got[0])
-            if not single:
-                self._offer(score, back, k, k + 1, here + self.unk_score)
+                at += 1
+                v += here
+                if v > score[at]:
+                    score[at], back[at] = v, k
+                    if at > reach:
+                        reach = at
+            if s[start] not in self.ids:
+                v = here + self.unk_score
+                if v > score[k + 1]:
+                    score[k + 1], back[k + 1] = v, k
+                    if k + 1 > reach:
+                        reach = k + 1
         return out + self._walk(s, base, back, n - base)
 
     @staticmethod
-    def _offer(score, back, k, to, value):
-        while len(score) <= to:
-            score.append(-np.inf)
-            back.append(-1)
-        if value > score[to]:
-            score[to], back[to] = value, k
-
-    @staticmethod
-    def _common(back, k, reach) -> int:
+    def _common(back, k, upto) -> int:
         """The last boundary that the paths of all live boundaries (those from k on) share."""
-        live = {x for x in range(k, reach) if back[x] >= 0}
+        live = {x for x in range(k, upto) if back[x] >= 0}
         while len(live) > 1:
             top = max(live)
             live.remove(top)
@@ -131,10 +140,12 @@ class Pieces:
     def __getitem__(self, chunk: str) -> bytes:
         got = self.known.get(chunk)
         if got is None:
-            got = np.array(self.viterbi(chunk), "<u4").tobytes()
+            got = self.old.get(chunk)
+            if got is None:
+                got = np.array(self.viterbi(chunk), "<u4").tobytes()
             if len(chunk) <= 64:
                 if len(self.known) >= self.remember:
-                    self.known.clear()
+                    self.old, self.known = self.known, {}
                 self.known[chunk] = got
         return got
 
