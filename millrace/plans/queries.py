@@ -851,8 +851,10 @@ _TRADE = "(SELECT c_nationkey AS s, s_nationkey AS d, 1000.0 / count(*) AS c FRO
 
 
 def trade(t) -> DataFrame:
-    x = t("orders").filter("o_orderkey % 50 = 0").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    return x.groupBy(F.col("c_nationkey").cast("bigint").alias("src"), F.col("s_nationkey").cast("bigint").alias("dst")).agg((F.lit(1000.0) / F.count(F.lit(1))).alias("cost"))
+    """Lines of all orders by customer's and supplier's nation; they are counted by supplier before the last join."""
+    x = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = x.groupBy("c_nationkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    return x.groupBy(F.col("c_nationkey").cast("bigint").alias("src"), F.col("s_nationkey").cast("bigint").alias("dst")).agg((F.lit(1000.0) / F.sum("n")).alias("cost"))
 
 
 @query(f"WITH RECURSIVE e AS {_TRADE}, p(n, c, h) AS (SELECT 0, 0.0::DOUBLE, 0 UNION SELECT e.d, min(p.c + e.c), p.h + 1 FROM p JOIN e ON e.s = p.n WHERE p.h < 8 GROUP BY e.d, p.h) SELECT CAST(n AS BIGINT) AS node, round(min(c), 6) AS cost FROM p GROUP BY 1")
