@@ -614,8 +614,9 @@ _RATE = "(SELECT o_custkey AS u, l_partkey % 50 AS i, avg(l_quantity) AS r FROM
 
 
 def ratings(t) -> DataFrame:
-    x = t("orders").filter("o_custkey % 25 = 0").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return x.groupBy(F.col("o_custkey").cast("int").alias("user"), (F.col("l_partkey") % 50).cast("int").alias("item")).agg(F.avg("l_quantity").alias("rating"))
+    """Mean quantity of each customer's lines of each part, over all orders."""
+    x = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return x.groupBy(F.col("o_custkey").cast("int").alias("user"), F.col("l_partkey").cast("int").alias("item")).agg(F.avg("l_quantity").alias("rating"))
 
 
 def triples(t) -> DataFrame:
@@ -789,7 +790,7 @@ def cross_validate_documents(t):
 @query(f"WITH t AS {_RATE} SELECT CAST(u AS INT) AS \"user\", CAST(i AS INT) AS item, round(m, 6) AS prediction FROM (SELECT DISTINCT u FROM t) a, (SELECT i, avg(r) AS m FROM t GROUP BY 1) b")
 def recommend_baseline(t):
     r = ratings(t)
-    pairs = r.select("user").distinct().join(F.broadcast(r.select("item").distinct()), F.lit(True))  # 50 items
+    pairs = r.select("user").distinct().crossJoin(r.select("item").distinct())
     return r6(recommend.predict_baseline(r, pairs))
 
 

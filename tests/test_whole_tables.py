@@ -46,3 +46,28 @@ def test_trade_counts_all_orders(spark, sql):
         d = np.minimum(d, d[:, k, None] + d[k])
     same(rows(spark, "all_pairs_trade"), [(i, j, d[i, j]) for i in range(25) for j in range(25) if np.isfinite(d[i, j])])
     same(rows(spark, "shortest_paths_trade"), [(j, d[0, j]) for j in range(25) if np.isfinite(d[0, j])])
+
+
+# ---- ratings ----------------------------------------------------------------------------------------
+
+RATINGS = "(SELECT o_custkey AS u, l_partkey AS i, avg(l_quantity) AS r FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
+
+
+def whole(name):
+    """The query's SQL with ratings of all customers and real parts."""
+    from millrace.plans import queries
+
+    text = queries.ORACLES[name]
+    assert queries._RATE in text or RATINGS in text
+    return text.replace(queries._RATE, RATINGS)
+
+
+@pytest.mark.parametrize("name", ["sparse_cosine_ratings", "sparse_euclid_ratings", "recommend_baseline", "recommend_users", "sparse_transpose_ratings", "sub_matrix_ratings"])
+def test_ratings_of_all_orders(spark, sql, name):
+    same(rows(spark, name), sql(whole(name)))
+
+
+def test_recommenders_see_all_ratings(spark, sql):
+    want = sorted(r[:2] for r in sql("SELECT u, i FROM " + RATINGS))
+    for name in ("recommend_users", "recommend_factorization", "recommend_clusters"):
+        assert [r[:2] for r in rows(spark, name)] == want
