@@ -71,3 +71,29 @@ def test_recommenders_see_all_ratings(spark, sql):
     want = sorted(r[:2] for r in sql("SELECT u, i FROM " + RATINGS))
     for name in ("recommend_users", "recommend_factorization", "recommend_clusters"):
         assert [r[:2] for r in rows(spark, name)] == want
+
+
+# ---- matching and functions -------------------------------------------------------------------------
+
+
+def test_matching_takes_all_rows(spark, sql):
+    mean = lambda t, c: sql(f"SELECT {c}_nationkey, avg({c}_acctbal) FROM {t} GROUP BY 1 ORDER BY 1")
+    a, b = mean("supplier", "s"), mean("customer", "c")
+    cost = (np.array([x for _, x in a])[:, None] - np.array([x for _, x in b])) ** 2
+    got = rows(spark, "bipartite_matching_suppliers")
+    few, many = sorted((sorted(x for _, x in a), sorted(x for _, x in b)), key=len)
+    best = np.zeros(len(many) + 1)  # one number a row: some best matching keeps the order
+    for x in few:
+        new = np.full(len(many) + 1, np.inf)
+        for j, y in enumerate(many):
+            new[j + 1] = min(new[j], best[j] + (x - y) ** 2)
+        best = new
+    assert len(got) == len(few) and sum(r[2] for r in got) == pytest.approx(best[-1])
+    at, to = {k: i for i, (k, _) in enumerate(a)}, {k: i for i, (k, _) in enumerate(b)}
+    assert all(c == pytest.approx(cost[at[i], to[j]]) for i, j, c in got)
+
+
+def test_gamma_of_all_nations(spark):
+    import math
+
+    same(rows(spark, "gamma_nation"), [(i, round(math.gamma(i + 1.5), 3), math.lgamma(i + 1.5)) for i in range(25)])
