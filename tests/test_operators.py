@@ -240,6 +240,16 @@ def test_nearest(blobs):
     assert parts.count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 50])
+def test_nearest_breaks_ties_of_copies_by_key(spark, block):
+    x = np.random.default_rng(0).integers(0, 6, 1000).astype(float).tolist()
+    df = spark.createDataFrame([(i, v, v / 3) for i, v in enumerate(x)], "id bigint, x double, y double").coalesce(1)
+    got = {(r["query"], r["rank"]): r["neighbour"] for r in distance.nearest(df.filter("id < 20"), df, "id", ["x", "y"], 5, block=block).collect()}
+    for q, v in enumerate(x[:20]):
+        want = sorted((i for i in range(len(x)) if i != q), key=lambda i: (abs(x[i] - v), i))[:5]
+        assert [got[q, r + 1] for r in range(5)] == want
+
+
 def test_similarities(spark):
     a = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 2.0), (1, 1, 4.0), (1, 2, 9.0), (2, 5, 1.0)], "row bigint, key bigint, value double")
     s = {(r["a_row"], r["b_row"]): r["similarity"] for r in distance.sparse_similarity(a, a).collect()}
