@@ -14,13 +14,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import support
 from .kernels import LOWER
 
 _BITS = 16
+_UNSEEN = 0.05
 #: Lower-cased letters and the bytes of other scripts as they are, all else blank: numbers, addresses and
 #: marks are no evidence.
 _PLAIN = LOWER.copy()
@@ -44,6 +45,9 @@ class TextModel:
     def __init__(self, languages: list[str], logp: np.ndarray):
         self.languages, self.logp = languages, logp
 
+    def loglik(self, g: np.ndarray) -> np.ndarray:
+        return self.logp[g].sum(0, dtype=np.float64)
+
     def evidence(self, text: str | None, temper: float) -> tuple[np.ndarray, bool]:
         """Tempered log likelihoods, and whether some language explains the text better than chance. A
         text without letters is explained by none."""
@@ -53,36 +57,64 @@ class TextModel:
         g = _grams(f" {text} ".encode())
         total = np.zeros(n)
         for at in range(0, len(g), 1 << 20):
-            total += self.logp[g[at : at + (1 << 20)]].sum(0, dtype=np.float64)
+            total += self.loglik(g[at : at + (1 << 20)])
         return temper * total, bool(total.max() > -_BITS * np.log(2) * len(g))
 
 
-def fit(docs: DataFrame, per_language: int = 1500, most: int = 64, least: int = 5) -> TextModel:
-    """docs (text, declared). Languages are the up to ``most`` commonest declared ones of at least
-    ``least`` texts; of each, ``per_language`` texts in expectation are counted, drawn by hash."""
-    n = docs.filter("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most).collect()
-    n = {r["declared"]: r["count"] for r in n if r["count"] >= least or len(n) == 1}
+class SparseTextModel(TextModel):
+    """The same for many languages: what each language has over an unseen trigram, listed by trigram."""
+
+    def __init__(self, languages: list[str], grams: np.ndarray, cols: np.ndarray, counts: np.ndarray):
+        self.languages = languages
+        order = np.argsort(grams, kind="stable")
+        self.at = np.searchsorted(grams[order], np.arange((1 << _BITS) + 1))
+        self.cols = cols[order].astype(np.int32)
+        self.unseen = np.log(_UNSEEN / (np.bincount(cols, counts, len(languages)) + _UNSEEN * (1 << _BITS)))
+        self.more = np.log((counts[order] + _UNSEEN) / _UNSEEN).astype(np.float32)
+
+    def loglik(self, g: np.ndarray) -> np.ndarray:
+        grams, n = np.unique(g, return_counts=True)
+        lengths = self.at[grams + 1] - self.at[grams]
+        where = np.repeat(self.at[grams] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        return self.unseen * len(g) + np.bincount(self.cols[where], self.more[where] * np.repeat(n, lengths), len(self.languages))
+
+
+def fit(docs: DataFrame, per_language: int = 1500, dense: int = 64) -> TextModel:
+    """docs (text, declared). Languages are all declared ones; of each, ``per_language`` texts in expectation
+    are counted, drawn by hash. Up to ``dense`` languages make a dense model, more a sparse one."""
+    n = docs.filter("declared is not null").groupBy("declared").count().collect()
+    n = {r["declared"]: r["count"] for r in n}
     languages = sorted(n)
     if not languages:
         return TextModel([], np.zeros((1 << _BITS, 0)))
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / n[k])))])
-    draw = (F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)) < share[F.col("declared")]
+    large = {k: per_language / n[k] for k in languages if n[k] > per_language}  # of the others all texts count
+    share = F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col("declared")] if large else F.lit(1.0)
+    draw = (F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)) < F.coalesce(share, F.lit(1.0))
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
+
+        def counted():
+            for lang, c in total.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_pydict({"declared": pa.array([lang] * len(at), pa.string()), "g": pa.array(at), "c": pa.array(c[at])})
+            total.clear()
+
         for b in batches:
             for lang, t in zip(b.column(0).to_pylist(), b.column(1)):
                 c = total.setdefault(lang, np.zeros(1 << _BITS, np.int64))
                 c += np.bincount(_grams(f" {t.as_py() or ''} ".encode()), minlength=1 << _BITS)
-        for lang, c in total.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_pydict({"declared": pa.array([lang] * len(at), pa.string()), "g": pa.array(at), "c": pa.array(c[at])})
+                if len(total) > 64:
+                    yield from counted()
+        yield from counted()
 
-    rows = docs.filter(F.col("declared").isin(languages) & draw).select("declared", "text").mapInArrow(count, "declared string, g bigint, c bigint")
+    rows = docs.filter(F.col("declared").isNotNull() & draw).select("declared", "text").mapInArrow(count, "declared string, g bigint, c bigint")
     rows = rows.groupBy("declared", "g").agg(F.sum("c").alias("c")).toArrow()  # languages x 2^16 numbers at most
-    counts = np.full((1 << _BITS, len(languages)), 0.05)
     at = {k: i for i, k in enumerate(languages)}
     cols = np.array([at[x] for x in rows.column(0).to_pylist()], int)
+    if len(languages) > dense:
+        return SparseTextModel(languages, rows.column(1).to_numpy().astype(int), cols, rows.column(2).to_numpy().astype(float))
+    counts = np.full((1 << _BITS, len(languages)), _UNSEEN)
     np.add.at(counts, (rows.column(1).to_numpy().astype(int), cols), rows.column(2).to_numpy())
     return TextModel(languages, np.log(counts / counts.sum(0)).astype(np.float32))
 
@@ -93,15 +125,17 @@ def host_priors(docs: DataFrame, languages: list[str], levels: list[str], streng
     Each level is one grouped count of declared languages; its shares are smoothed by ``strength``
     pseudo-rows of the level above. Rows without declared language count for nothing.
     """
-    sums = lambda: [F.coalesce(F.count_if(F.col("declared") == k), F.lit(0)).cast("double").alias(f"n{i}") for i, k in enumerate(languages)]
-    r = docs.agg(*sums()).first()
-    total = sum(r) + len(languages)
-    overall = [(x + 1) / total for x in r]
+    by = docs.groupBy("declared").count().collect()
+    by = {r["declared"]: r["count"] for r in by}
+    total = sum(by.get(k, 0) for k in languages) + len(languages)
+    overall = [(by.get(k, 0) + 1) / total for k in languages]
+    names = F.array(*map(F.lit, languages))
     table: DataFrame | None = None
     for i, level in enumerate(levels):
         keys = levels[: i + 1]
-        got = docs.groupBy(*keys).agg(*sums())
-        n = F.array(*[f"n{j}" for j in range(len(languages))])
+        got = docs.groupBy(*keys, "declared").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy(*keys)
+        got = got.agg(F.map_from_entries(F.collect_list(F.when(F.col("declared").isNotNull(), F.struct("declared", "c")))).alias("counts"))
+        n = F.transform(names, lambda k: F.coalesce(F.col("counts")[k], F.lit(0.0)))
         if table is None:
             got = got.withColumn("up", F.array(*map(F.lit, overall)))
         else:
@@ -129,22 +163,26 @@ def posterior(docs: DataFrame, model: TextModel, levels: list[str], suffix: str
     rows = docs.join(keys, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in levels], "left")
     names = model.languages
 
-    def spread(value: Column, p: float) -> Column:
-        other = (1 - p) / max(1, len(names) - 1)
-        return F.when(value.isin(names), F.array(*[F.when(value == k, F.lit(p)).otherwise(F.lit(other)) for k in names]))
+    at = {k: i for i, k in enumerate(names)}
+
+    def spread(value: str | None, p: float) -> np.ndarray | None:
+        if value not in at:
+            return None
+        out = np.full(len(names), (1 - p) / max(1, len(names) - 1))
+        out[at[value]] = p
+        return out
 
-    said = spread(F.col("declared"), trust)
-    where = F.lit(None).cast("array<double>")
+    where = F.lit(None).cast("string")
     if suffix:
         to = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])
-        where = spread(to[F.col(suffix)], suffix_trust)
+        where = to[F.col(suffix)]
 
     @F.pandas_udf("lang string, p double, explained boolean")
     def fuse(text: pd.Series, prior: pd.Series, said: pd.Series, where: pd.Series) -> pd.DataFrame:
         out = []
-        for t, *others in zip(text, prior, said, where):
+        for t, prior_, said_, where_ in zip(text, prior, said, where):
             z, explained = model.evidence(t, temper)
-            for x in others:
+            for x in (prior_, spread(said_, trust), spread(where_, suffix_trust)):
                 if x is not None:
                     z = z + np.log(np.maximum(np.asarray(x, float), 1e-12))
             p = np.exp(z - z.max())
@@ -153,7 +191,7 @@ def posterior(docs: DataFrame, model: TextModel, levels: list[str], suffix: str
             out.append((names[i], float(p[i]), explained))
         return pd.DataFrame(out, columns=["lang", "p", "explained"])
 
-    got = rows.withColumn("__got", fuse("text", "__p", said, where))
+    got = rows.withColumn("__got", fuse("text", "__p", "declared", where))
     return got.select(*[docs[c] for c in docs.columns], F.col("__got.lang").alias("lang_id"), F.col("__got.p").alias("lang_posterior"), F.col("__got.explained").alias("lang_explained"))
 
 

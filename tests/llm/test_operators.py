@@ -168,6 +168,20 @@ def test_host_priors_are_smoothed_by_level(spark):
     assert r["lang_id"] == "de" and r["lang_posterior"] == pytest.approx(0.7)
 
 
+def test_every_declared_language_is_modelled(spark):
+    rng = random.Random(4)
+    pools = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for i in range(80)}
+    rows = [(i * 10 + j, " ".join(rng.choice(pool) for _ in range(40)), lang, "s") for i, (lang, pool) in enumerate(pools.items()) for j in range(1 + i % 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert all(r["lang_id"] == r["lang"] and r["lang_kept"] for r in langid.identify(df).collect())
+    x = df.select("text", F.col("lang").alias("declared"))
+    dense, sparse = langid.fit(x, dense=100), langid.fit(x)
+    assert isinstance(sparse, langid.SparseTextModel) and sparse.languages == dense.languages == list(pools)
+    for t in [r[1] for r in rows[:5]] + ["something else", ""]:
+        a, b = dense.evidence(t, 1.0), sparse.evidence(t, 1.0)
+        assert a[1] == b[1] and a[0] == pytest.approx(b[0], rel=1e-4)
+
+
 # ---- 5 suffix dedup ---------------------------------------------------------------------------------
 
 
