@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import support
+from ..functions import text
+from . import support, urlrep
 from .kernels import LOWER
 
 _BITS = 16
@@ -175,7 +176,7 @@ def posterior(docs: DataFrame, model: TextModel, levels: list[str], suffix: str
     where = F.lit(None).cast("string")
     if suffix:
         to = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])
-        where = to[F.col(suffix)]
+        where = to[F.substring_index(F.col(suffix), ".", -1)]  # co.uk counts as uk
 
     @F.pandas_udf("lang string, p double, explained boolean")
     def fuse(text: pd.Series, prior: pd.Series, said: pd.Series, where: pd.Series) -> pd.DataFrame:
@@ -195,16 +196,29 @@ def posterior(docs: DataFrame, model: TextModel, levels: list[str], suffix: str
     return got.select(*[docs[c] for c in docs.columns], F.col("__got.lang").alias("lang_id"), F.col("__got.p").alias("lang_posterior"), F.col("__got.explained").alias("lang_explained"))
 
 
-def identify(docs: DataFrame, declared: str = "lang", host: str = "source", least: float = 0.5, **kw) -> DataFrame:
+def identify(docs: DataFrame, declared: str = "lang", host: str = "source", least: float = 0.5, levels: list[str] | None = None, suffix: str | None = None, **kw) -> DataFrame:
     """All columns of docs and lang_id, lang_posterior, lang_explained, lang_kept.
 
-    A row is rejected if it has no letters, if no language explains its text better than chance, or if
-    the best language's posterior is under ``least``. Null and empty texts are rejected.
+    ``levels`` are the columns of the prior from coarse to fine, ``host`` alone by default; ``suffix`` is the
+    column of the address suffix, without which it is no evidence. A row is rejected if it has no letters,
+    if no language explains its text better than chance, or if the best language's posterior is under
+    ``least``. Null and empty texts are rejected.
     """
-    rows = docs.withColumn("__declared", F.col(declared)).withColumn("__host", F.col(host))
-    names = rows.columns
-    inner = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names) if c not in ("text", "__declared", "__host")], "text", F.col("__declared").alias("declared"), F.col("__host").alias("host"))
+    names, levels = docs.columns, levels or [host]
+    inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names) if c != "text"], "text", F.col(declared).alias("declared"), *[F.col(c).alias(f"level{i}") for i, c in enumerate(levels)], *([F.col(suffix).alias("suffix")] if suffix else []))
     model = fit(inner.select("text", "declared"), **kw)
-    out = posterior(inner, model, ["host"])
-    back = [F.col("text") if c == "text" else F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in ("__declared", "__host")]
+    out = posterior(inner, model, [f"level{i}" for i in range(len(levels))], "suffix" if suffix else None)
+    back = [F.col("text") if c == "text" else F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
     return out.select(*back, "lang_id", "lang_posterior", "lang_explained", (F.col("lang_explained") & (F.col("lang_posterior") >= least)).alias("lang_kept"))
+
+
+def identify_pages(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) -> page_id, text, declared, suffix, domain, host and the columns of identify.
+
+    The text is the visible one, the declaration the main part of ``<html lang>``; the suffix of the address is
+    evidence, and the prior is smoothed from suffix to domain to host."""
+    host = urlrep.host_of(F.col("url"))
+    said = F.lower(F.regexp_extract(text.attribute(F.col("html"), "html", "lang"), "^\\s*([A-Za-z]+)", 1))
+    rows = pages.select("page_id", text.visible_text("html").alias("text"), F.when(said != "", said).alias("declared"), urlrep.suffix_of(host).alias("suffix"), urlrep.domain_of(host).alias("domain"), host.alias("host"))
+    rows, _ = support.written(rows, "page-texts")  # pages are parsed once
+    return identify(rows, "declared", levels=["suffix", "domain", "host"], suffix="suffix")

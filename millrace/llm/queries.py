@@ -50,6 +50,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("lang").alias("declared"), F.col("lang_id").alias("lang"), F.round("lang_posterior", 6).alias("posterior"), F.col("lang_kept").alias("kept"))
 
 
+def op4_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identify_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "declared", F.col("lang_id").alias("lang"), F.round("lang_posterior", 6).alias("posterior"), F.col("lang_kept").alias("kept"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiorder.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codes, op2_url_filter, op3_toxicity, op4_language_id, op5_suffix_dedup, op6_lattice_near, op7_iblt_fingerprints, op8_source_mix, op9_piece_viterbi, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_token_codes, op2_url_filter, op3_toxicity, op4_language_id, op4_page_languages, op5_suffix_dedup, op6_lattice_near, op7_iblt_fingerprints, op8_source_mix, op9_piece_viterbi, op10_ngram_join)}
 
 _TWO = ", ".join(f"'{s}'" for s in urlrep.TWO_LABEL_SUFFIXES)
 

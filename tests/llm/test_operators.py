@@ -182,6 +182,19 @@ def test_every_declared_language_is_modelled(spark):
         assert a[1] == b[1] and a[0] == pytest.approx(b[0], rel=1e-4)
 
 
+def test_pages_use_suffix_and_levels(spark):
+    page = lambda lang, body: f"<html{lang and f' lang={chr(34)}{lang}{chr(34)}'}><head><style>p {{}}</style></head><body><p>{body}</p></body></html>"
+    rng = random.Random(5)
+    words = [a + b for a in ("ka", "mo", "ri", "te") for b in ("lun", "sar", "dip")]
+    body = lambda: " ".join(rng.choice(words) for _ in range(30))
+    rows = [(i, f"https://www.a{i % 5}.com/x", page(("de", "en-GB")[i % 2], body())) for i in range(40)]  # both languages look alike
+    rows += [(100, "https://x.co.uk/", page("", body())), (101, "https://x.de/", page("", body())), (102, None, page("en", "")), (103, "https://x.de/", None)]
+    by = {r["page_id"]: r for r in langid.identify_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(by) == len(rows) and by[0]["declared"] == "de" and by[1]["declared"] == "en" and by[0]["domain"] == "a0.com"
+    assert by[100]["lang_id"] == "en" and by[101]["lang_id"] == "de" and by[100]["declared"] is None
+    assert not by[102]["lang_kept"] and not by[103]["lang_kept"]
+
+
 # ---- 5 suffix dedup ---------------------------------------------------------------------------------
 
 
