@@ -250,6 +250,29 @@ def test_nearest_breaks_ties_of_copies_by_key(spark, block):
         assert [got[q, r + 1] for r in range(5)] == want
 
 
+@pytest.mark.parametrize("label", ["y", "c"])
+def test_naive_instance_finds_the_nearest_rows(spark, label):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=150), rng.integers(0, 4, 100) + 5.0])
+    y = rng.normal(size=250) + x
+    c = ["abc"[int(i)] for i in rng.integers(0, 3, 250)]
+    z = np.concatenate([rng.normal(size=60), [5.0, 5.5, 6.2, 99.0, -99.0, np.nan], x[:20]])
+    train = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), c)), "x double, y double, c string")
+    test = spark.createDataFrame([(i, None if np.isnan(v) else float(v)) for i, v in enumerate(z)], "id int, x double")
+    got = {r["id"]: r["prediction"] for r in learners.NaiveInstance(["x"], label, k=7).fit(train).predict(test).collect()}
+    targets = [y] if label == "y" else [np.array([v == k for v in c], float) for k in "abc"]
+    assert len(got) == len(z)
+    for i, v in enumerate(z):
+        d = np.abs(x - v)
+        kth = np.sort(d)[6]
+        w = (d < kth) + (d == kth) * (7 - (d < kth).sum()) / max(1, (d == kth).sum())
+        p = [0.0 if np.isnan(v) else (w * t).sum() / 7 for t in targets]
+        if label == "y":
+            assert got[i] == pytest.approx(p[0])
+        else:
+            assert p["abc".index(got[i])] == pytest.approx(max(p))
+
+
 def test_similarities(spark):
     a = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 2.0), (1, 1, 4.0), (1, 2, 9.0), (2, 5, 1.0)], "row bigint, key bigint, value double")
     s = {(r["a_row"], r["b_row"]): r["similarity"] for r in distance.sparse_similarity(a, a).collect()}
