@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -43,6 +44,33 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: Tables that results still read; they go when the process ends.
+_later: dict[str, list[str]] = {}
+
+
+def later(spark: SparkSession, path: str) -> None:
+    """Delete a table when the process ends, if its session still runs then."""
+    app = spark.sparkContext.applicationId
+    if app not in _later:
+        _later[app] = []
+
+        def clean():
+            sc = spark.sparkContext
+            if sc._jsc is not None and sc.applicationId == app:
+                for p in _later[app]:
+                    delete(spark, p)
+
+        atexit.register(clean)
+    _later[app].append(path)
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``written``, for a table that the result reads: it goes when the process ends."""
+    out, path = written(df, name)
+    later(df.sparkSession, path)
+    return out, path
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send texts to Python workers ``rows`` at a time, unless the session asks for fewer: a batch of long
     documents then takes some MB, not hundreds."""
