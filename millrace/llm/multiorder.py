@@ -205,13 +205,14 @@ def _join(docs: DataFrame, k: int, num: int, den: int, rounds: int, block: int,
                     each = np.repeat(np.array(names, np.int64), [len(x) for x in tokens], axis=0)
                     yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens).view(np.int64)), "node": pa.array(each[:, 0]), "level": pa.array(np.concatenate(levels)), "reach": pa.array(each[:, 1].astype(np.int32)), "short": pa.array(each[:, 2].astype(np.int32))})
 
-    # dealt by token once, read twice: to count, and to keep the tokens that two different sets have
+    # dealt by token once: counted, and kept where two different sets have the token
     rows = docs.mapInArrow(prefixes, "token bigint, node bigint, level byte, reach int, short int").repartition(parts, "token")
-    common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token", "df")
+    each = Window.partitionBy("token")
+    common = rows.withColumn("df", F.count(F.lit(1)).over(each)).filter("df > 1").withColumn("lo", F.min("node").over(each)).withColumn("hi", F.max("node").over(each)).filter("lo <> hi").drop("lo", "hi")
     # of the given tokens those that only one set has stand first; equal rows (of other tasks) rank alike
     by = Window.partitionBy("node")
     rank = F.dense_rank().over(by.orderBy("level", "df", "token"))
-    live = rows.join(common, "token").withColumn("rank", rank).withColumn("all", F.max("rank").over(by))
+    live = common.withColumn("rank", rank).withColumn("all", F.max("rank").over(by))
     over = F.col("rank") - F.col("all") - F.col("reach")  # places after the end of the prefix
     live = live.filter(over <= 0).select("token", "node", (over + F.col("short") <= 0).alias("early")).dropDuplicates(["node", "token"])
     live = work.keep(live, "shared")
