@@ -10,7 +10,8 @@ prefix lengths give the classes of contexts equal to each depth, and a string st
 stretch is in its class on both sides.
 
 A gram with more than ``hot`` different stretches is not gathered: its string starts are counted one by
-one by 128-bit hash, with partial sums before the shuffle.
+one by 128-bit hash, with partial sums before the shuffle. A text that stands more than once is cut as a
+whole; of its copies each task takes one.
 """
 
 from __future__ import annotations
@@ -186,23 +187,29 @@ def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], span: np.
 # ---- the operator ----------------------------------------------------------------------------------
 
 
-def _text_key(text: Column, seed: int) -> Column:
-    return F.xxhash64(text, F.lit(seed))
+def _text_key(text: Column, twice: list[int]) -> Column:
+    """A number for each different text; ``twice`` are the hashes that two texts share."""
+    h = F.xxhash64(text, F.lit(11))
+    return F.when(h.isin(*twice), F.xxhash64(text, F.lit(-11))).otherwise(h) if twice else h
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 4096, seed: int = 11) -> tuple[DataFrame, int]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 4096) -> tuple[DataFrame, list[int]]:
     """docs (text) -> (t, lo, hi) arrays per text key t: the covered byte stretches, in any order and
-    overlapping; and the seed of the key. Texts of fewer than ``length`` bytes have none."""
+    overlapping; and what ``_text_key`` needs. Texts of fewer than ``length`` bytes have none."""
     spark = docs.sparkSession
     parts = support.shuffle_partitions(spark)
-    keyed = docs.select(_text_key(F.col("text"), seed).alias("t"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
-    if keyed.select("t", F.xxhash64("text", F.lit(-seed)).alias("more")).groupBy("t").agg(F.min("more").alias("a"), F.max("more").alias("b")).filter("a <> b").limit(1).count():
-        return repeated_spans(docs, length, gram, hot, seed + 1)  # two texts of one key
+    long = docs.filter(F.octet_length("text") >= length)
+    texts = long.select(_text_key(F.col("text"), []).alias("t"), F.xxhash64("text", F.lit(-11)).alias("more"), F.octet_length("text").alias("size")).groupBy("t", "more").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"))
+    texts, _ = support.kept(texts, "texts")
+    # texts of one hash: some at 10^10 texts, none below; the other hash is their key then
+    twice = [r["t"] for r in texts.groupBy("t").count().filter("count > 1").select("t").collect()]
+    keyed = long.select(_text_key(F.col("text"), twice).alias("t"), "text")
+    copied = texts.filter("c > 1").select((F.when(F.col("t").isin(*twice), F.col("more")).otherwise(F.col("t")) if twice else F.col("t")).alias("t"), F.lit(0).cast("bigint").alias("lo"), F.col("size").cast("bigint").alias("hi"))
 
     def find(batches):
         """Anchors of a task. What repeats inside the task is settled here: one row of each (g, h) goes on
         marked ``sure``, the others only carry their own stretch and are dealt evenly."""
-        kept, n = [], 0
+        kept, n, seen = [], 0, set()
         for b in batches:
             held, keys, offs, size = [], [], [], 0
 
@@ -214,6 +221,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 return len(g)
 
             for t, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                if t in seen:
+                    continue
+                seen.add(t)
                 for o, part in pieces_of(raw.as_py().encode(), length):
                     if size + len(part) >= _STEP:
                         n += flush()
@@ -246,16 +256,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     same = found.repartition(parts, "g").withColumn("c", F.count(F.lit(1)).over(by_h) + F.max(F.col("p").bitwiseAND(1)).over(by_h)).withColumn("i", F.row_number().over(by_h.orderBy("t", "p")))
     same = same.withColumn("least", F.min("c").over(by_g)).withColumn("one", F.min("h").over(by_g) == F.max("h").over(by_g)).withColumn("v", F.sum((F.col("i") == 1).cast("int")).over(by_g))
     same = same.filter((F.col("c") > 1) | own | ~F.col("one")).select("g", "h", "t", F.shiftright("p", 2).alias("p"), ((F.col("c") > 1) | own).alias("whole"), (~own & ~F.col("one") & (F.col("least") == 1) & (F.col("i") == 1)).alias("ask"), (F.col("v") > hot).alias("hot"))
-    same, p1 = support.written(same, "anchors")
+    same, _ = support.kept(same, "anchors")
     pos, back, span = F.shiftright("p", 16), F.shiftright("p", 8).bitwiseAND(255), F.col("p").bitwiseAND(255)
     whole = same.filter("whole").select("t", (pos - back).alias("lo"), (pos - back + span + length).alias("hi"))
     asked = same.filter("ask").groupBy("t").agg(F.collect_list(F.struct("g", "h", "p", "whole", "hot")).alias("asked"))
 
     def fetch(batches):
-        """The bytes around each gram that is asked for."""
+        """The bytes around each gram that is asked for; of copies one a task."""
+        seen: set[int] = set()
         for b in batches:
             out = {k: [] for k in ("g", "h", "t", "p", "whole", "hot", "left", "right")}
             for t, raw, asked_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                if t in seen:
+                    continue
+                seen.add(t)
                 data = raw.as_py().encode()
                 for x in asked_:
                     at, before, more = x["p"] >> 16, x["p"] >> 8 & 255, x["p"] & 255
@@ -268,7 +282,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     kinds = "g bigint, h bigint, t bigint, p bigint, whole boolean, hot boolean, left binary, right binary"
     got = keyed.join(asked, "t").select("t", "text", "asked").mapInArrow(fetch, kinds)
-    got, p2 = support.written(got, "stretches")
+    got, _ = support.kept(got, "stretches")
 
     def intervals(dup, t, p, out):
         edge = np.diff(np.pad(dup, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -278,11 +292,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         out.append((t[r], at - (z - 1), at - a + length))  # s counts backwards from the gram
 
     def sort(batches):
-        held = None
+        held, n = [], 0  # a gram has ``hot`` different stretches at most
 
         def solve(x):
-            first = ~x.duplicated(["g", "h"])  # copies of one text are fetched each
-            x = x[first.to_numpy()]
+            x = x[~x.duplicated(["g", "h"]).to_numpy()]  # copies of one text are fetched once a task
             g = np.unique(x["g"].to_numpy(), return_inverse=True)[1].ravel()
             if len(x) < 2:
                 return None
@@ -292,16 +305,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in out[0]], ["t", "lo", "hi"])
 
         for b in batches:
-            x = b.to_pandas()
-            held = x if held is None else pd.concat([held, x], ignore_index=True)
-            if not len(held):
-                continue
-            last = int(np.searchsorted(held["g"].to_numpy(), held["g"].to_numpy()[-1]))
-            if last > 20_000:
-                if (r := solve(held[:last])) is not None:
+            held.append(b.to_pandas())
+            n += len(held[-1])
+            if n > 20_000:
+                x = pd.concat(held, ignore_index=True)
+                last = int(np.searchsorted(x["g"].to_numpy(), x["g"].to_numpy()[-1]))
+                if last and (r := solve(x[:last])) is not None:
                     yield r
-                held = held[last:].reset_index(drop=True)
-        if held is not None and len(held) and (r := solve(held)) is not None:
+                held, n = [x[last:].drop_duplicates(["g", "h"])], 0
+                n = len(held[0])
+        if n and (r := solve(pd.concat(held, ignore_index=True))) is not None:
             yield r
 
     some = got.filter("not hot").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(sort, "t bigint, lo bigint, hi bigint")
@@ -317,12 +330,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if i == 7 else pa.int64()) for i, c in enumerate(zip(*out) if out else [[]] * 8)], ["g", "s", "x", "y", "h", "t", "p", "sure"])
 
     one = got.filter("hot").dropDuplicates(["g", "h"]).mapInArrow(single, "g bigint, s bigint, x bigint, y bigint, h bigint, t bigint, p bigint, sure boolean")
-    twice = one.groupBy("g", "s", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.bool_or("sure").alias("any")).filter("n > 1 or any").drop("n", "any")
+    again = one.groupBy("g", "s", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.bool_or("sure").alias("any")).filter("n > 1 or any").drop("n", "any")
     at = F.shiftright("p", 16)
-    singles = one.join(twice, ["g", "s", "x", "y"]).select("t", (at - F.col("s")).alias("lo"), (at - F.col("s") + length).alias("hi"))
+    singles = one.join(again, ["g", "s", "x", "y"]).select("t", (at - F.col("s")).alias("lo"), (at - F.col("s") + length).alias("hi"))
     # copies of one text have one key: its stretches are kept once
-    spans = whole.union(some).union(singles).groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("x"))
-    return spans.select("t", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi")), seed
+    spans = whole.union(some).union(singles).union(copied).groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("x"))
+    return spans.select("t", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi")), twice
 
 
 def covered(size: int, lo, hi) -> np.ndarray:
@@ -334,13 +347,14 @@ def covered(size: int, lo, hi) -> np.ndarray:
 
 
 def _joined(df: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    spans, seed = repeated_spans(df.select("text"), length, gram, hot)
-    return df.withColumn("__t", _text_key(F.col("text"), seed)).join(spans.select(F.col("t").alias("__t"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi")), "__t", "left")
+    spans, twice = repeated_spans(df.select("text"), length, gram, hot)
+    return df.withColumn("__t", _text_key(F.col("text"), twice)).join(spans.select(F.col("t").alias("__t"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi")), "__t", "left")
 
 
 def digest(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; null text is empty, repeated rows
-    repeat each other, other columns are not read."""
+    repeat each other, a null id stays, an empty table gives an empty result, other columns are not read.
+    Whole texts are searched, long ones in steps of 2^17 bytes that overlap."""
 
     def run(batches):
         for b in batches:
@@ -362,7 +376,7 @@ def digest(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 409
 
 def clean(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 4096) -> DataFrame:
     """The table with repeated bytes cut out of ``text``. Characters that are cut in the middle go as a
-    whole; null text stays null."""
+    whole; null text stays null, repeated rows lose what they share, and other columns stay as they are."""
 
     cols = df.columns
     at, n = cols.index("text"), len(cols)
