@@ -120,8 +120,9 @@ class WordEncoder(dict):
 
     For byte-level tokenizers that lower-case and split a text into words of letters, single digits and
     marks. Texts of plain characters are split here and each distinct word goes through the library's merges
-    once; other texts go through the library piece by piece between blanks. What is known is kept in two
-    generations of ``limit`` words each, so memory is bounded. ``check`` compares both ways on a sample.
+    once; other texts go through the library piece by piece between blanks. A text that holds the string of an
+    added token goes through the library as a whole, which gives that token's id. What is known is kept in two
+    generations of ``limit`` words each, so memory is bounded. ``CHECK`` compares both ways on a sample.
     """
 
     CHECK = "The don't, it's I'LL x1990 25.5% (a-b) \u00c9t\u00e9 \u00fcber\u00b2 \u00bc\u00b5 \u00ab\u00e9\u00bb ## ''s '"
@@ -130,7 +131,8 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tok, self.limit, self.old = Tokenizer.from_file(path), limit, {}
-        self.tok.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added), re.IGNORECASE).search if added else lambda text: None
         self.model, alphabet = self.tok.model, byte_alphabet()
         self.bytes = {chr(b): "".join(alphabet[x] for x in chr(b).encode()) for b in range(256)}
         if self.encode(self.CHECK) != np.array(self._ids(self.CHECK), "<u4").tobytes():
@@ -152,6 +154,8 @@ class WordEncoder(dict):
         return got
 
     def encode(self, text: str) -> bytes:
+        if self.added(text) is not None:
+            return np.array(self._ids(text), "<u4").tobytes()
         if _ODD.search(text) is None:
             return b"".join(map(self.__getitem__, _WORDS.findall(text.lower())))
         parts = []
@@ -173,7 +177,8 @@ def write(df: DataFrame, out: str, tokenizer: str, eos: int = 2, segment_tokens:
     """Encode every text and write the segments to ``out``, documents in ascending id order.
 
     A null text is empty, an empty one is just ``eos``; rows with a null id come first; rows with equal
-    ids keep all copies, ordered by text. Other columns are not read. A segment closes at the first
+    ids keep all copies, ordered by text. An empty table gives no segment. Other columns are not read, whole
+    texts are. A segment closes at the first
     document end past ``segment_tokens``; the text goes through one shuffle, range-partitioned by id.
     """
     n = parts or support.shuffle_partitions(df.sparkSession)
@@ -232,12 +237,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def token_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
     """(pos) -> (pos, token): looks single ids up by global position; each touches one segment and
-    ``levels`` chunks of it. Positions outside the file give no row."""
+    ``levels`` chunks of it. Positions outside the file and null ones give no row, repeated ones a row each."""
     segs = spark.read.schema(SEGMENT).parquet(path)
     per = segs.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("outer"))
     meta = segs.select("part", "seq", "n_tokens", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("inner")).join(per, "part")
     meta = meta.select("part", "seq", "n_tokens", (F.col("inner") + F.col("outer")).alias("first"))
-    hit = positions.select(F.col("pos").cast("bigint").alias("pos")).join(meta, (F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("first") + F.col("n_tokens")))
+    # positions and segments meet by blocks of 2^20 positions, so the join has an equality and deals out
+    block = 20
+    spans = meta.filter("n_tokens > 0").withColumn("block", F.explode(F.sequence(F.shiftright("first", block), F.shiftright(F.col("first") + F.col("n_tokens") - 1, block))))
+    asked = positions.select(F.col("pos").cast("bigint").alias("pos")).withColumn("block", F.shiftright("pos", block))
+    hit = asked.join(spans, "block").filter((F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("first") + F.col("n_tokens")))
     hit = hit.groupBy("part", "seq").agg(F.collect_list(F.struct("pos", (F.col("pos") - F.col("first")).alias("at"))).alias("want"))
 
     def run(batches):
