@@ -117,7 +117,7 @@ def _bucketed(keys: Column, bits: Column) -> Column:
 def differing(a: Column, b: Column, fa: Column, fb: Column) -> Column:
     """How many digests only one of two digest arrays has, by peeling; fa and fb are their sketches of the
     stored width, tried first. Then a bucket for every two digests, each tried with 3x4 cells, then 3x8,
-    then 3x16 cells dealt anew. Null only if the last of these fails as well."""
+    then 3x16 cells dealt anew. Should the last of these fail as well, the digests are compared one by one."""
     w0 = F.lit(_WIDTH)
     stored = F.size(peel(subtract(fa, fb), w0, F.lit(0), F.lit(_WIDTH * _ROWS)))
 
@@ -137,7 +137,28 @@ def differing(a: Column, b: Column, fa: Column, fb: Column) -> Column:
         pairs = F.zip_with(_bucketed(a, bits_), _bucketed(b, bits_), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
         return F.aggregate(F.transform(pairs, one), F.lit(0), lambda s, n: F.when((s >= 0) & (n >= 0), s + n).otherwise(F.lit(-1)), lambda s: F.when(s >= 0, s))
 
-    return let(stored, lambda s: F.when(s >= 0, s).otherwise(let(bits, larger)))
+    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    return let(stored, lambda s: F.when(s >= 0, s).otherwise(F.coalesce(let(bits, larger), exact)))
+
+
+def differences(a: Column, b: Column) -> Column:
+    """The digests only one of two digest arrays has, as array of (k, n: +1 only in a, -1 only in b), by the
+    same sketches and retries as ``differing``."""
+
+    def one(pair):
+        def attempt(acc, i):
+            w = F.least(F.call_function("shiftleft", F.lit(_WIDTH), i), F.lit(16))
+            return F.coalesce(acc, let(w, lambda v: peel(subtract(sketch(pair["x"], v, i), sketch(pair["y"], v, i)), v, i, F.size(pair["x"]) + F.size(pair["y"]))))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(_RETRIES)), F.lit(None).cast("array<struct<k:bigint,n:int>>"), attempt)
+
+    def found(bits):
+        pairs = F.zip_with(_bucketed(a, bits), _bucketed(b, bits), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        return F.flatten(F.transform(pairs, one))  # null if a bucket is
+
+    exact = F.concat(*[F.transform(F.array_except(x, y), lambda k, n=n: F.struct(k.alias("k"), F.lit(n).alias("n"))) for x, y, n in ((a, b, 1), (b, a, -1))])
+    bits = F.ceil(F.log2(F.greatest(F.size(a), F.size(b), F.lit(2)) / 2)).cast("int")
+    return F.coalesce(let(bits, found), exact)
 
 
 def likeness(a: Column, b: Column, d: Column) -> Column:
@@ -183,7 +204,9 @@ def versions(df: DataFrame) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text replaces the last third of a text by the beginning of the next document, by descending
-    id. Null text is empty. Repeated rows stay; equal (id, text) rows are neighbours of each other.
+    id, null ids last. Null text is empty, whole texts are read. Repeated rows stay; equal (id, text) rows are
+    neighbours of each other. An empty table gives an empty result; other columns are not read. Likenesses lie
+    from 0 to 1 and are never null.
     """
     d = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("d", digests(F.col("text")))
