@@ -2,8 +2,9 @@
 
 The words of a source, documents in id order, are packed into blocks of ``block`` words; only its last
 block may be shorter. The mix has one slot for each block it takes. Slots are dealt to output shards of
-``shard_slots`` slots. Each shard draws how many slots each source gets: a multinomial draw without
-replacement from the sources' remaining quotas, so that over all shards a source gets exactly its quota.
+``shard_slots`` slots. Each shard draws how many slots each source gets, a multinomial draw with the quotas'
+shares; what a source has drawn beyond its quota over all shards goes to the sources that are short, so that
+each gets exactly its quota. Shards are drawn in the tasks, from seeds of their own.
 The j-th slot of a source takes block perm(j mod blocks) of pass j div blocks, where perm is a
 pseudorandom permutation of the source's block numbers (a Feistel network walked until it falls inside
 the range), so each pass takes a block at most once. Slots and blocks meet in a join on
@@ -17,7 +18,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import support
@@ -52,26 +53,38 @@ def quota(size: int, target: float, block: int, max_epochs: int) -> int:
     return min(max_epochs * n, whole * n + round((target - whole * size) / size * n))
 
 
-def draw(quotas: list[int], shard_slots: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source number, first slot of the source, slots): what each shard takes."""
-    rng, left, out, shard = np.random.default_rng(seed), np.array(quotas, np.int64), [], 0
-    done = np.zeros_like(left)
-    while left.sum():
-        k = int(min(shard_slots, left.sum()))
-        # one source after the other, each binomially conditioned on what is left: a multivariate hypergeometric draw
-        rest, got = int(left.sum()), np.zeros_like(left)
-        for i in np.flatnonzero(left):
-            n = int(left[i])
-            rest -= n
-            got[i] = k if rest == 0 else (rng.hypergeometric(n, rest, k) if n + rest < 10**9 else min(n, max(k - rest, round(rng.normal(k * n / (n + rest), max(1e-9, k * n / (n + rest) * rest / (n + rest)) ** 0.5)), 0), k))
-            k -= int(got[i])
-            if k == 0:
-                break
-        out += [(shard, int(i), int(done[i]), int(got[i])) for i in np.flatnonzero(got)]
-        done += got
-        left -= got
-        shard += 1
-    return out
+class Draws:
+    """The multinomial draws of the shards, any of them by number, and their correction.
+
+    Shard h has ``shard_slots`` slots (the last the rest) and draws how many each source gets, with the
+    sources' shares of all slots as probabilities, from a generator seeded by (seed, h). Over all shards a
+    source then has about its quota; its slots beyond the quota go, in order, to the sources short of theirs.
+    """
+
+    def __init__(self, quotas: list[int], shard_slots: int, seed: int):
+        self.quotas, self.each, self.seed = np.array(quotas, np.int64), shard_slots, seed
+        self.total = int(self.quotas.sum())
+        self.shards = -(-self.total // shard_slots)
+        self.p = self.quotas / max(1, self.total)
+
+    def counts(self, shard: int) -> np.ndarray:
+        n = min(self.each, self.total - shard * self.each)
+        return np.random.default_rng([self.seed, shard]).multinomial(n, self.p)
+
+    def settle(self, drawn: np.ndarray) -> None:
+        """drawn: slots of each source over all shards."""
+        over, short = np.maximum(0, drawn - self.quotas), np.maximum(0, self.quotas - drawn)
+        self.before, self.ends, self.drawn = np.cumsum(over) - over, np.cumsum(short), drawn
+
+    def slots(self, s: int, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(source, number of the slot within it) of the n slots from ``first`` on that were drawn for s."""
+        j, source = np.arange(first, first + n), np.full(n, s, np.int64)
+        out = j >= self.quotas[s]
+        rank = self.before[s] + j[out] - self.quotas[s]
+        to = np.searchsorted(self.ends, rank, "right")
+        source[out] = to
+        j[out] = self.quotas[to] - (self.ends[to] - rank)
+        return source, j
 
 
 def permute(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -112,18 +125,22 @@ class Mix:
         return self.slots.join(self.pieces().hint("merge"), ["s", "block"]).select("doc_id", "s", "at", "shard", "epoch", "block", "lo", "hi")
 
 
-def mix(df: DataFrame, block: int = 64, shard_slots: int = 4096, max_epochs: int = 3, seed: int = 17, weights=None) -> Mix:
+def mix(df: DataFrame, block: int = 64, shard_slots: int = 4096, max_epochs: int = 3, seed: int = 17, weights=None, most_sources: int = 1_000_000) -> Mix:
     """Plan and draw the mix of a table with doc_id, text, source.
 
     Sources are ordered by code point, null last; ``weights(i, name)`` is the weight of the i-th, by
     default 1, 2, 3, 1, ... Null and empty texts have no words and are never taken. Documents of a source
-    are ordered by (doc_id, hash of the text); equal rows follow one another. Only the source table
-    (name, words) reaches the driver. Reruns give the same mix.
+    are ordered by (doc_id, hash of the text), null ids first; equal rows follow one another. An empty table
+    gives an empty mix; other columns are not read. Whole texts are counted. The source table (name, words)
+    and each source's number of drawn slots reach the driver; more than ``most_sources`` sources are refused.
+    Reruns give the same mix.
     """
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64("text").alias("row"))
-    docs, path = support.written(docs, "mix-docs")
-    rows = docs.groupBy("source").agg(F.sum("size").alias("n")).collect()
+    docs, _ = support.kept(docs, "mix-docs")
+    rows = docs.groupBy("source").agg(F.sum("size").alias("n")).limit(most_sources + 1).collect()
+    if len(rows) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     rows = sorted(rows, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     share = [float(weights(i, r["source"])) if weights else i % 3 + 1 for i, r in enumerate(rows)]
     goal = targets([r["n"] for r in rows], share, max_epochs)
@@ -132,21 +149,48 @@ def mix(df: DataFrame, block: int = 64, shard_slots: int = 4096, max_epochs: int
     small = F.broadcast(names) if len(plan) <= 100_000 else names
     docs = docs.join(small, docs["source"].eqNullSafe(names["source"])).select("doc_id", "row", docs["source"], "size", "s", "source_size", "target")
     docs = support.prefix_sum(docs, ["s"], "doc_id", "size", "at", ties=["row", "size"])
-    shards = draw([p["quota"] for p in plan], shard_slots, seed)
-    counts = spark.createDataFrame(pa.table(dict(zip(("shard", "s", "first", "n"), map(list, zip(*shards)) if shards else ([], [], [], [])))).cast(pa.schema([("shard", pa.int64()), ("s", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])))
-    blocks = {p["s"]: p["blocks"] for p in plan}
+    draws = Draws([p["quota"] for p in plan], shard_slots, seed)
+    blocks = np.array([p["blocks"] for p in plan], np.int64)
+    # runs of shards: a run is drawn in one task, first to count, then to number the slots from where the run starts
+    run = max(16, -(-draws.shards // 100_000))
+    runs = spark.range(0, -(-draws.shards // run), 1, max(1, min(support.shuffle_partitions(spark), -(-draws.shards // run))))
+
+    def count(batches):
+        for b in batches:
+            for r in b.column(0).to_pylist():
+                n = sum(draws.counts(h) for h in range(r * run, min(draws.shards, (r + 1) * run)))
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_pydict({"run": pa.array(np.full(len(at), r)), "s": pa.array(at.astype(np.int32)), "n": pa.array(n[at])})
+
+    counted = spark.createDataFrame([], "run bigint, s int, n bigint")
+    if draws.shards:
+        counted, _ = support.kept(runs.mapInArrow(count, "run bigint, s int, n bigint"), "mix-draws")
+    drawn = np.zeros(len(plan), np.int64)
+    for r in counted.groupBy("s").agg(F.sum("n").alias("n")).collect():  # one row a source
+        drawn[r["s"]] = r["n"]
+    draws.settle(drawn)
+    starts = counted.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = starts.groupBy("run").agg(F.collect_list(F.struct("s", "first")).alias("starts"))
 
     def slots(batches):
         for b in batches:
-            for shard, s, first, n in zip(*(c.to_pylist() for c in b.columns)):
-                j = np.arange(first, first + n)
-                m, out = blocks[s], np.empty(n, np.int64)
-                for e in np.unique(j // m):
-                    at = j // m == e
-                    out[at] = permute(j[at] % m, m, seed * 1_000_003 + s * 101 + int(e))
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(n, shard)), "s": pa.array(np.full(n, s, np.int32)), "epoch": pa.array((j // m).astype(np.int32)), "block": pa.array(out)})
-
-    drawn = counts.repartition(max(1, min(support.shuffle_partitions(spark), len(shards)))).mapInArrow(slots, "shard bigint, s int, epoch int, block bigint")
+            for r, given in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                first = np.zeros(len(blocks), np.int64)
+                for x in given:
+                    first[x["s"]] = x["first"]
+                for h in range(r * run, min(draws.shards, (r + 1) * run)):
+                    n = draws.counts(h)
+                    got = [draws.slots(int(s), int(first[s]), int(n[s])) for s in np.flatnonzero(n)]
+                    first += n
+                    source, j = (np.concatenate(x) for x in zip(*got))
+                    m, block_, epoch = blocks[source], np.empty(len(j), np.int64), j // blocks[source]
+                    for s in np.unique(source):
+                        for e in np.unique(epoch[source == s]):
+                            at = (source == s) & (epoch == e)
+                            block_[at] = permute(j[at] % m[at], int(blocks[s]), seed * 1_000_003 + int(s) * 101 + int(e))
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(j), h)), "s": pa.array(source.astype(np.int32)), "epoch": pa.array(epoch.astype(np.int32)), "block": pa.array(block_)})
+
+    drawn = starts.mapInArrow(slots, "shard bigint, s int, epoch int, block bigint")
     return Mix(docs, plan, drawn, block)
 
 
