@@ -81,17 +81,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_codes, op2_url_filter, op3_toxicity, op4_language_id, op4_page_languages, op5_suffix_dedup, op6_lattice_near, op7_iblt_fingerprints, op8_source_mix, op9_piece_viterbi, op10_ngram_join)}
 
-_TWO = ", ".join(f"'{s}'" for s in urlrep.TWO_LABEL_SUFFIXES)
-
 _OP2 = f"""
 WITH p AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 o AS (SELECT doc_id AS page_id, max(CAST(quality = 0 AS INT)) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM p LEFT JOIN o USING (page_id) GROUP BY 1),
-parts AS (SELECT *, string_split(host, '.') AS l, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM h0),
-h AS (SELECT host, n, k, CASE WHEN two IN ({_TWO}) THEN array_to_string(l[-3:], '.') ELSE two END AS domain,
-             CASE WHEN two IN ({_TWO}) THEN two ELSE l[-1] END AS suffix FROM parts),
+names AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(?::[0-9]*)?\\z', '') AS name FROM h0),
+parts AS (SELECT *, string_split(name, '.') AS l, regexp_extract(name, '{urlrep.TWO_LABELS}', 1) AS two, regexp_matches(name, '{urlrep.NUMERIC}') AS numeric FROM names),
+h AS (SELECT host, n, k, CASE WHEN numeric THEN name WHEN two <> '' THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+             CASE WHEN numeric THEN name WHEN two <> '' THEN two ELSE l[-1] END AS suffix FROM parts),
 t AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(k) + 0.5::DOUBLE) / (sum(n) + 1) ELSE 0.5 END AS m FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT m FROM t) AS m FROM h GROUP BY 1),
 ss AS (SELECT 1 / least(0.5, greatest(0.001, coalesce((sum(n * pow(k / n - m, 2) / greatest(m * (1 - m), 1e-9)) - count(*)) / nullif(sum(n - 1), 0), 0.5))) - 1 AS s FROM s0 WHERE n > 0),
@@ -101,8 +100,14 @@ ds AS (SELECT 1 / least(0.5, greatest(0.001, coalesce((sum(n * pow(k / n - m, 2)
 d1 AS (SELECT domain, (s * m + k) / (s + n) AS post FROM d0, ds),
 g0 AS (SELECT host, n, k, post AS m FROM h JOIN d1 USING (domain)),
 gs AS (SELECT 1 / least(0.5, greatest(0.001, coalesce((sum(n * pow(k / n - m, 2) / greatest(m * (1 - m), 1e-9)) - count(*)) / nullif(sum(n - 1), 0), 0.5))) - 1 AS s FROM g0 WHERE n > 0),
-r AS (SELECT host, (s * m + k) / (s + n) AS mean, s + n AS total FROM g0, gs),
-b AS (SELECT host, mean, mean - 1.64 * sqrt(mean * (1 - mean) / (total + 1)) AS bound FROM r),
+r AS (SELECT host, s * m + k AS a, s + n - (s * m + k) AS b FROM g0, gs),
+q AS (SELECT a, b, a * ln(a / (a + b)) + b * ln(b / (a + b)) AS top FROM (SELECT DISTINCT a, b FROM r)),
+pts AS (SELECT a, b, i, exp(a * i * 0.1::DOUBLE - (a + b) * (greatest(i * 0.1::DOUBLE, 0) + ln(1 + exp(-abs(i * 0.1::DOUBLE)))) - top) AS d FROM q, range(-400, 401) t(i)),
+ends AS (SELECT a, b, sum(d * CASE WHEN abs(i) = 400 THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END) AS inner_, max(CASE WHEN i = -400 THEN d END) / a AS below, max(CASE WHEN i = 400 THEN d END) / b AS above FROM pts GROUP BY a, b),
+cum AS (SELECT a, b, i, d * CASE WHEN abs(i) = 400 THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END AS x, sum(d * CASE WHEN abs(i) = 400 THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END) OVER (PARTITION BY a, b ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM pts),
+hit AS (SELECT a, b, any_value(below) AS below, any_value(0.05::DOUBLE * (inner_ + below + above)) AS goal,
+        arg_min((i - 0.5::DOUBLE + (0.05::DOUBLE * (inner_ + below + above) - below - (c - x)) / x) * 0.1::DOUBLE, i) FILTER (c + below >= 0.05::DOUBLE * (inner_ + below + above)) AS z FROM cum JOIN ends USING (a, b) GROUP BY a, b),
+b AS (SELECT host, a / (a + b) AS mean, CASE WHEN below >= goal THEN 0 ELSE 1 / (1 + exp(-coalesce(z, 40))) END AS bound FROM r JOIN hit USING (a, b)),
 m AS (SELECT page_id, host, path, mean, bound,
   CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
