@@ -55,6 +55,8 @@ def test_dac_random_access():
 def test_dac_files(spark, corpus):
     path, tok = support.new_path(spark, "t"), tokenizer_path("word_bpe_49k.json")
     df = frame(spark, corpus).union(frame(spark, {0: corpus[0], 3: "other text"}))
+    dac.write(df.union(frame(spark, {7: "no id"}).withColumn("doc_id", F.lit(None).cast("bigint"))), path, tok)
+    assert dac.read(spark, path).orderBy("start").first()["doc_id"] is None
     dac.write(df, path, tok, segment_tokens=300)
     got = dac.read(spark, path).orderBy("start").collect()
     from tokenizers import Tokenizer
@@ -74,10 +76,16 @@ def test_dac_files(spark, corpus):
 
 
 def test_word_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
     e, rng = dac.WordEncoder(tokenizer_path("word_bpe_49k.json"), limit=50), random.Random(5)
+    lib = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))  # untouched by the module
     for _ in range(3000):
         t = "".join(rng.choice("aBc'sStTdDéÉßñÑµª²1٣ .,-_\n\t\xa0\x1ćœŒ’日İ'ſ") for _ in range(rng.randrange(14)))
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tok.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    for t in ("x <|endoftext|> y", "<|startoftext|><|ENDOFTEXT|>", "a<|endoftext|>é\u0301 b", "<|endoftext", "ab " * 200_000, "é日" * 50_000):
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t[:40])
+    assert 49407 in dac.ids_of(tokenizer_path("word_bpe_49k.json"), ["x <|endoftext|> y"])[0]
 
 
 # ---- 2 url filter -----------------------------------------------------------------------------------
@@ -97,9 +105,26 @@ def test_url_filter(spark):
     assert got[9]["verdict"] == "block" and got[9]["bad_rate"] > 0.7
     assert urlrep.judge(pages.union(more), outcomes, RULES).count() == 73
     assert urlrep.judge(pages.limit(0), outcomes, RULES).count() == 0
+    odd = pages.union(spark.createDataFrame([(None, "http://a.org/es/" + "x" * 100_000, "h")], "page_id bigint, url string, host string"))
+    assert [(r["rule"], r["verdict"]) for r in urlrep.judge(odd, outcomes, RULES).collect() if r["page_id"] is None] == [("org/es/", "block")]
     assert urlrep.judge(pages, outcomes.limit(0), RULES).count() == 13
 
 
+def test_domains_and_suffixes(spark):
+    want = {"b.co.za": ("b.co.za", "co.za"), "a.b.gov.au": ("b.gov.au", "gov.au"), "x.y.com": ("y.com", "com"), "h:80": ("h", "h"), "u@w.de:8080": ("w.de", "de"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]": ("[::1]", "[::1]"), "co.uk": ("co.uk", "co.uk"), "a.fr.": ("a.fr", "fr"), "": ("", ""), "www.com.br": ("www.com.br", "com.br")}
+    df = spark.createDataFrame([(h,) for h in want], "h string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("h", urlrep.domain_of(F.col("h")), urlrep.suffix_of(F.col("h"))).collect()} == want
+
+
+def test_beta_quantile(spark):
+    rng, pairs = np.random.default_rng(3), [(0.02, 0.9), (0.5, 0.5), (1, 1), (2.5, 40), (300, 20), (0.3, 1000.0)]
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in pairs], "a double, b double").select("a", "b", urlrep.beta_quantile(F.col("a"), F.col("b"), 0.05).alias("q")).collect()
+    for r in rows:
+        x = rng.beta(r["a"], r["b"], 400_000)
+        assert 0 <= r["q"] <= 1 and abs((x <= r["q"]).mean() - 0.05) < 0.004 or r["q"] < 1e-12, r
+    assert next(r["q"] for r in rows if r["a"] == 1) == pytest.approx(0.05, abs=1e-3)
+
+
 # ---- 3 toxicity -------------------------------------------------------------------------------------
 
 
@@ -213,6 +238,23 @@ def test_suffixes(spark, corpus, hot):
     assert suffixes.digest(empty(spark)).count() == 0
 
 
+def test_suffixes_of_long_texts_and_many_copies(spark):
+    rng = random.Random(21)
+    blob = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
+    passage = blob[131_072 - 150 : 131_072 + 250]
+    texts = {1: blob, 2: "x " + passage + " y", 3: blob[5_000:5_300] + "é" + blob[390_000:], 4: "".join(rng.choice("ijkl") for _ in range(250_000))}
+    copy = "".join(rng.choice("mnop ") for _ in range(500))
+    near = {10 + i: copy[: 40 * i] + "#" + copy[40 * i :] for i in range(5)}
+    rows = [*texts.items(), *near.items(), *((100 + i, copy) for i in range(20_000))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    got = {r["doc_id"]: r for r in suffixes.digest(df, hot=3).collect()}
+    want = suffixes.brute({**texts, **near, 100: copy, 101: copy})
+    assert len(got) == len(rows) and all(got[100 + i]["n_removed"] == 500 for i in range(20_000))
+    for i in [*texts, *near]:
+        raw = (texts.get(i) or near.get(i)).encode()
+        assert got[i]["n_removed"] == want[i].sum() and got[i]["kept_sha256"] == hashlib.sha256(np.frombuffer(raw, np.uint8)[~want[i]].tobytes()).hexdigest(), i
+
+
 def test_suffix_texts_and_columns(spark, corpus):
     df = frame(spark, corpus).withColumn("lo", F.lit(5)).withColumn("t", F.lit("x"))
     got = suffixes.clean(df)
@@ -270,6 +312,36 @@ def test_lattice_near(spark):
     assert lattice.near(df.limit(0)).count() == 0
 
 
+def test_lattice_lengths_and_labels(spark):
+    v = lambda *x: [float(a) for a in x]
+    rows = [(1, "a", v(1, 0)), (2, "a", v(2, 0)), (3, "a", v(0, 1, 0)), (4, "a", v(0, 3, 0)), (5, "b", v(1, 0)), (6, "a", v(1, 0, 0)), (7, "b", v(1, 0.01))]
+    want = {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (0, 6), 7: (1, 5)}
+    for given in (rows, rows[::-1]):
+        got = lattice.near(spark.createDataFrame(given, "vec_id bigint, label string, embedding array<double>").coalesce(1)).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+
+
+@pytest.mark.parametrize("dim", [8, 16, 64, 384, 1024])
+def test_lattice_recall(dim):
+    rng, n = np.random.default_rng(dim), 2000
+    a = rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(n, dim))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.98 * a + (1 - 0.98**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    t, one = lattice.Tables(dim, 12, 8.0, 5), np.zeros(n, np.int64)
+    x, y = t.cells(a, one), t.cells(b, one)
+    assert ((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).any(1).mean() >= 0.998
+
+
+def test_components_in_rounds(spark):
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(60)] + [(300, 300 + i) for i in range(1, 80)] + [(None, 4)]
+    df = spark.createDataFrame(links, "a bigint, b bigint").repartition(7)
+    one = sorted(map(tuple, components.components(df).collect()))
+    assert sorted(map(tuple, components.components(df, last=0).collect())) == one and {c for n, c in one if n <= 60} == {0} and {c for n, c in one if n >= 300} == {300}
+
+
 def test_components(spark):
     links = [(9, 8), (8, 7), (7, 1), (5, 6), (6, 5), (4, 4), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
@@ -304,6 +376,27 @@ def test_fingerprints(spark, corpus):
     assert iblt.versions(frame(spark, {5: "a. b."}).union(frame(spark, {5: "a. b."}))).count() == 2
 
 
+def test_differing_digests_of_two_versions(spark):
+    rng = random.Random(6)
+    a, b = [[rng.randrange(-(2**63), 2**63) for _ in range(n)] for n in (90, 5)]
+    rows = [(a, a[7:] + b), (a, a), ([], b), ([], []), (a[:1], b[:1]), (a * 1, b)]
+    fix = lambda c: F.array_sort(F.transform(c, lambda k: k.bitwiseAND(~0xFFFF).bitwiseOR(iblt._check(k))))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select(fix(F.col("a")).alias("a"), fix(F.col("b")).alias("b"))
+    for r in df.select("a", "b", iblt.differences(F.col("a"), F.col("b")).alias("d"), iblt.differing(F.col("a"), F.col("b"), iblt.sketch(F.col("a"), F.lit(4), F.lit(0)), iblt.sketch(F.col("b"), F.lit(4), F.lit(0))).alias("n")).collect():
+        x, y = set(r["a"]), set(r["b"])
+        assert {(z["k"], z["n"]) for z in r["d"]} == {(k, 1) for k in x - y} | {(k, -1) for k in y - x} and r["n"] == len(x ^ y)
+
+
+def test_fingerprints_of_null_ids_and_long_texts(spark):
+    rng = random.Random(8)
+    rows = {9: prose(rng, 30_000), 4: "z" * 100_000}
+    df = frame(spark, rows).union(frame(spark, {7: "no id."}).withColumn("doc_id", F.lit(None).cast("bigint")))
+    got = {r["doc_id"]: r for r in iblt.versions(df).collect()}
+    assert set(got) == {9, 4, None} and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got.values())
+    t, u = rows[9], rows[4]
+    assert got[9]["edited_sha256"] == hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest()
+
+
 def test_peeling_recovers_the_difference(spark):
     a, b = list(range(65536 * 3, 65536 * 40, 65536 * 3)), list(range(65536 * 6, 65536 * 43, 65536 * 3))
     fix = lambda c: F.transform(c, lambda k: k.bitwiseOR(iblt._check(k)))
@@ -328,9 +421,21 @@ def test_permutation():
 
 
 def test_draws_meet_quotas():
-    got = mixing.draw([10, 0, 500, 33], 50, 3)
-    assert {s: sum(n for _, i, _, n in got if i == s) for s in range(4)} == {0: 10, 1: 0, 2: 500, 3: 33}
-    assert all(sum(n for h, _, _, n in got if h == k) == 50 for k in range(10))
+    quotas = [10, 0, 500, 33, 1]
+    d = mixing.Draws(quotas, 50, 3)
+    each = [d.counts(h) for h in range(d.shards)]
+    assert [int(x.sum()) for x in each] == [50] * 10 + [44] and all((d.counts(h) == each[h]).all() for h in range(d.shards))
+    d.settle(sum(each))
+    first, got = np.zeros(5, np.int64), []
+    for n in each:
+        for s in np.flatnonzero(n):
+            got += zip(*(x.tolist() for x in d.slots(int(s), int(first[s]), int(n[s]))))
+        first += n
+    assert sorted(got) == [(s, j) for s, q in enumerate(quotas) for j in range(q)]
+    # independent draws: shares of many shards are near those of the quotas
+    d = mixing.Draws([3000, 1000], 40, 5)
+    x = np.array([d.counts(h)[0] for h in range(100)])
+    assert abs(x.mean() - 30) < 1.5 and abs(x.std() - (40 * 0.75 * 0.25) ** 0.5) < 0.6
 
 
 def test_mix(spark, corpus):
