@@ -159,7 +159,8 @@ class PCA(Transform):
     def untransform(self, df):
         s = self.state
         made = [sum((F.col(f"pc{i}") * F.lit(row[j]) for i, row in enumerate(s["basis"])), F.lit(s["mean"][j])).alias(c) for j, c in enumerate(s["cols"])]
-        return df.select(*[c for c in df.columns if not c.startswith("pc")], *made)
+        parts = {f"pc{i}" for i in range(len(s["basis"]))}
+        return df.select(*[c for c in df.columns if c not in parts], *made)
 
 
 class ReplaceWithNoise(Transform):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -24,6 +25,16 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
     return s
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all machines share (spark.checkpoint.dir); on one machine in a folder of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        named = "file://" + tempfile.mkdtemp(prefix="millrace-files-")
+    return f"{named.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each context; they need not have it installed."""
     sc = spark.sparkContext
