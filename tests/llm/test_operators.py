@@ -151,11 +151,36 @@ def test_nnpu(spark):
     assert all(r["predicted"] == 0 for r in rows if r["doc_id"] in (5000, 5001))
     again = {r["doc_id"]: r["score"] for r in nnpu.held_out_scores(d, lab).collect()}
     assert again == {r["doc_id"]: r["score"] for r in rows}
+    long = nnpu.held_out_scores(d.union(spark.createDataFrame([(6000, "ba " * 300_000 + "vilest", "x")], d.schema)), lab).filter("doc_id = 6000").first()
+    assert long["predicted"] == 1  # the last word of a long text counts
     none = nnpu.held_out_scores(d, lab.filter("toxic = 0")).collect()
     assert all(r["score"] == 0 for r in none)
     assert nnpu.held_out_scores(d.limit(0), lab).count() == 0
 
 
+def test_nnpu_risk_and_gradient_by_brute_force():
+    import math
+
+    rng = random.Random(4)
+    docs = lambda k: [np.array(sorted(rng.sample(range(6), rng.randrange(0, 5))), np.int64) for _ in range(k)]
+    pos, unl, prior, l2 = docs(12), docs(40), 0.2, 2e-3
+
+    def risk(w):
+        z = lambda d: w[6] + sum(w[f] for f in d)
+        soft = lambda x: math.log1p(math.exp(x))
+        plus, minus, u = (sum(map(f, map(z, x))) / len(x) for f, x in ((lambda x: soft(-x), pos), (soft, pos), (soft, unl)))
+        return prior * plus + max(0.0, u - prior * minus) + l2 / 2 * sum(x * x for x in w[:6])
+
+    start = [0.0] * 6 + [math.log(prior / (1 - prior))]
+    w, b, risks = nnpu.train(pos, unl, 6, prior, steps=1, rate=1e-3, l2=l2)
+    assert risks[0] == pytest.approx(risk(start))
+    for i, moved in enumerate([*w, b - start[6]]):  # the first step of Adam follows the sign of the gradient
+        up, down = list(start), list(start)
+        up[i], down[i] = up[i] + 1e-6, down[i] - 1e-6
+        slope = (risk(up) - risk(down)) / 2e-6
+        assert abs(slope) < 1e-6 or moved == pytest.approx(-1e-3 * np.sign(slope), rel=1e-2)
+
+
 def test_nnpu_risk_stays_non_negative():
     pos, unl = [np.array([0, 2])] * 30, [np.array([0, 2])] * 10 + [np.array([1])] * 90
     w, b, risks = nnpu.train(pos, unl, 3, 0.1)
