@@ -65,4 +65,24 @@ def test_stages(spark, folder):
 
 
 def test_run_equals_its_stages(spark, folder):
-    assert pipeline.run(spark, folder).count() > 0 and os.path.isdir(folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in pipeline.STAGES:
+        docs, _ = support.written(stage(spark, docs, folder), "stage")
+    rows = lambda d: sorted((r["doc_id"], r["n_ids"], tuple(r["ids"])) for r in d.collect())
+    assert rows(pipeline.run(spark, folder)) == rows(docs) and os.path.isdir(folder)
+
+
+def test_stages_on_odd_tables(spark, folder):
+    rng = random.Random(1)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    schema = docs.schema.simpleString()[7:-1].replace(":", " ") + ", token string, size bigint, node int, t string, s int"
+    text = prose(rng, 90)
+    given = [(5, text, "en", "s", len(text)), (5, text, "en", "s", len(text)), (None, prose(rng, 80), "en", None, 5), (8, None, None, None, None), (9, "", "en", "s", 0), (10, prose(rng, 20_000), "en", "s", 1)]
+    odd = spark.createDataFrame([(*r, "x", 1, 2, "y", 3) for r in given], schema)
+    for table in (odd, odd.limit(0)):
+        now = table
+        for name, stage in pipeline.STAGES:
+            now, _ = support.written(stage(spark, now, folder), "odd")
+            assert now.columns == (table.columns if name != pipeline.STAGES[-1][0] else ["doc_id", "n_ids", "ids"])
+        ids = [r["doc_id"] for r in now.collect()]
+        assert set(ids) <= {5, None, 10} and (10 in ids and None in ids) == (table is odd)
