@@ -14,32 +14,45 @@ from millrace.llm.queries import prepare, table, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, of no known language or of doubtful language go."""
+    """Documents without letters, of no known language or of doubtful language go: null and empty texts too.
+
+    Rows that repeat are judged alike and all stay or go; null ids and further columns are kept; an empty table
+    stays empty. Evidence: text, ``lang`` and ``source`` (documents have no address)."""
     prepare(spark)
     return langid.identify(docs).filter("lang_kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest id stays.
+
+    Texts without words are in no group and stay; rows that repeat id and text become one; a null id counts as
+    the smallest; further columns are kept; an empty table stays empty."""
     prepare(spark)
     return multiorder.representatives(docs, k=5, num=80, den=100)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out; a document of which no word is left goes."""
+    """Repeated passages are cut out; a document of which no word is left goes: null and empty texts too.
+
+    Repeated rows lose what they share, all of them; null ids and further columns are kept, ``n_chars`` is the
+    new length; an empty table stays empty."""
     prepare(spark)
     out = suffixes.clean(docs).filter(F.regexp_count("text", F.lit(mixing.WORD)) > 0)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document stands once for each pass that takes words of it."""
+    """Sources at their target weights: a document stands once for each pass that takes words of it.
+
+    Texts without words are never taken; a null source is a source of its own; rows that repeat id and text have
+    each their place in the mix; further columns are kept; an empty table stays empty."""
     prepare(spark)
     return mixing.mixed_documents(docs, mixing.mix(docs, block=512))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids, ids of every row."""
+    """doc_id, n_ids, ids of every row; null and empty texts have no ids, repeated rows and null ids stay, other
+    columns are not read, an empty table stays empty."""
     prepare(spark)
     out = spviterbi.encode(docs, tokenizer_path("piece_bpe_32k.model"))
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids")
