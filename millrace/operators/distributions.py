@@ -73,7 +73,8 @@ def sample_categorical(weights: DataFrame, key: str, weight: str, n: int, seed:
 
 
 def noise(spark: SparkSession, rows: int, kind: str, seed: int = 0, **p) -> DataFrame:
-    """(id, value) of so many draws of a distribution, made in parallel; reruns agree."""
+    """(id, value) of so many draws of a distribution, made in parallel. Each block of 4,096 ids has its own seed, so
+    reruns agree however the rows are dealt."""
     draw = {
         "beta": lambda g, k: g.beta(p["a"], p["b"], k), "binomial": lambda g, k: g.binomial(p["n"], p["p"], k), "categorical": lambda g, k: g.choice(len(p["shares"]), k, p=p["shares"]),
         "cauchy": lambda g, k: p.get("median", 0) + p.get("scale", 1) * g.standard_cauchy(k), "chisquare": lambda g, k: g.chisquare(p["df"], k), "exponential": lambda g, k: g.exponential(1 / p.get("rate", 1), k),
@@ -86,7 +87,11 @@ def noise(spark: SparkSession, rows: int, kind: str, seed: int = 0, **p) -> Data
     def run(batches):
         for b in batches:
             i = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_pydict({"id": b.column(0), "value": pa.array(np.asarray(draw(np.random.default_rng([seed, int(i[0])]), len(i)), float))}) if len(i) else pa.RecordBatch.from_pydict({"id": b.column(0), "value": pa.array([], pa.float64())})
+            value = np.empty(len(i))
+            for block in np.unique(i // 4096):
+                at = i // 4096 == block
+                value[at] = np.asarray(draw(np.random.default_rng([seed, int(block)]), 4096), float)[i[at] % 4096]
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "value": pa.array(value)})
 
     return spark.range(rows).mapInArrow(run, "id bigint, value double")
 

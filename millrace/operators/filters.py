@@ -72,11 +72,12 @@ def thin(df: DataFrame, group: list[str], order: str, col: str, gap: float, keys
 
 
 def drop_random_values(df: DataFrame, p: float, keys: list[str], cols: list[str], seed: int = 0) -> DataFrame:
-    """Blank exactly floor(p x cells) of the cells, drawn by hash of (row, column, seed)."""
+    """Blank exactly floor(p x cells) of the cells: those of the smallest hashes of (row, column, seed), found by their
+    positions in ranges of the hash."""
     rows = with_row_id(df, keys, "__i")
     k = int(p * rows.count() * len(cols))
     long = rows.select("__i", F.explode(F.array(*[F.lit(c) for c in cols])).alias("c")).withColumn("h", F.xxhash64("__i", "c", F.lit(seed)))
-    gone = long.orderBy("h", "__i", "c").limit(k).groupBy("__i").agg(F.collect_set("c").alias("gone"))
+    gone = with_row_id(long, ["h", "__i", "c"], "__p").filter(F.col("__p") < k).groupBy("__i").agg(F.collect_set("c").alias("gone"))
     out = rows.join(gone, "__i", "left")
     return out.select([F.when(~F.coalesce(F.array_contains("gone", c), F.lit(False)), F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 

@@ -70,6 +70,38 @@ def with_row_id(df: DataFrame, keys: list[str], name: str = "row_id") -> DataFra
     return running(df, keys, {name: F.lit(1)}, inclusive=False)
 
 
+def medians(df: DataFrame, cols: list[str], most: int = 100_000) -> dict[str, float | None]:
+    """The exact median of each column, null without values. Approximate quantiles around the middle bound it in one
+    scan, a second counts what lies below and between. What lies between is gathered in a third if it is at most ``most``
+    values a column, else found by positions over its distinct values."""
+    x = df.select([F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    names = x.columns
+    r = x.agg(*[F.count(c).alias(f"{c}n") for c in names], *[F.percentile_approx(c, [0.4995, 0.5005], 10_000).alias(f"{c}q") for c in names]).first()
+    n = {c: r[f"{c}n"] for c in names}
+    bounds = {c: tuple(r[f"{c}q"]) for c in names if n[c]}
+    if not bounds:
+        return dict.fromkeys(cols)
+    between = {c: F.col(c).between(F.lit(a), F.lit(z)) for c, (a, z) in bounds.items()}
+    r = x.agg(*[F.count_if(F.col(c) < F.lit(a)).alias(f"{c}b") for c, (a, _) in bounds.items()], *[F.count_if(between[c]).alias(f"{c}m") for c in bounds]).first()
+    below, inside = {c: r[f"{c}b"] for c in bounds}, {c: r[f"{c}m"] for c in bounds}
+    middle = {c: ((n[c] - 1) // 2, n[c] // 2) for c in bounds}
+    hit = {c: below[c] <= middle[c][0] and middle[c][1] < below[c] + inside[c] for c in bounds}
+    got = {c: bounds[c][0] for c in bounds if hit[c] and bounds[c][0] == bounds[c][1]}
+    few = [c for c in bounds if c not in got and hit[c] and inside[c] <= most]
+    if few:
+        r = x.agg(*[F.sort_array(F.collect_list(F.when(between[c], F.col(c)))).alias(c) for c in few]).first()
+        got |= {c: (r[c][middle[c][0] - below[c]] + r[c][middle[c][1] - below[c]]) / 2 for c in few}
+    for c in bounds:
+        if c not in got:
+            k = [m - (below[c] if hit[c] else 0) for m in middle[c]]
+            per = x.filter(between[c] if hit[c] else F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+            at = running(per, ["v"], {"before": F.col("k")}, inclusive=False)
+            holds = [F.max(F.when((F.col("before") <= i) & (F.lit(i) < F.col("before") + F.col("k")), F.col("v"))) for i in k]
+            a, z = at.agg(holds[0].alias("a"), holds[1].alias("z")).first()
+            got[c] = (a + z) / 2
+    return {c: got.get(f"c{i}") for i, c in enumerate(cols)}
+
+
 def with_neighbour(df: DataFrame, keys: list[str], values: dict[str, str], offset: int = 1) -> DataFrame:
     """Adds for each new name the value of a column ``offset`` rows later (earlier if negative); by a join
     on the position, so the whole order needs no single task."""

@@ -91,8 +91,8 @@ def bootstrap(df: DataFrame, fraction: float = 1.0, seed: int = 0) -> DataFrame:
 
 
 def fill_missing(df: DataFrame, cols: list[str] | None = None, random: bool = False, seed: int = 0) -> DataFrame:
-    """Nulls become the mean or the commonest value, or a random present value of the column (by the hash
-    of a uniform draw over up to 10 000 quantiles or values)."""
+    """Nulls become the mean or the commonest value, or the value of a random row that has one: present values are
+    numbered, and each null meets one by a drawn number. A column without values stays as it is."""
     cols = cols or df.columns
     num = set(numeric(df))
     if not random:
@@ -100,13 +100,10 @@ def fill_missing(df: DataFrame, cols: list[str] | None = None, random: bool = Fa
         return df.withColumns({c: F.coalesce(F.col(c).cast("double") if c in num else F.col(c), F.lit(b.get(c))) for c in cols})
     out = df
     for i, c in enumerate(cols):
-        if c in num:
-            pool = df.agg(F.percentile_approx(c, [k / 1000 for k in range(1001)], 10_000).alias("p")).first()["p"]
-        else:
-            n = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(1000).collect()
-            total = sum(r["count"] for r in n) or 1
-            pool = [r[c] for r in n for _ in range(max(1, round(1000 * r["count"] / total)))]
-        if pool:
-            draw = F.element_at(F.array(*map(F.lit, pool)), (F.floor(F.rand(seed + i) * len(pool)) + 1).cast("int"))
-            out = out.withColumn(c, F.coalesce(F.col(c), draw))
+        there = with_row_id(df.filter(F.col(c).isNotNull()).select(F.col(c).alias("__v")), ["__v"], "__p")
+        n = there.count()
+        if n:
+            null = out.filter(F.col(c).isNull()).withColumn("__p", F.floor(F.rand(seed + i) * n))
+            null = null.join(there, "__p").select([F.col("__v").alias(c) if k == c else F.col(k) for k in df.columns])
+            out = out.filter(F.col(c).isNotNull()).unionByName(null)
     return out

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.special import incomplete_beta
 from .columns import nominal, numeric
-from .ordering import running, with_row_id
+from .ordering import medians, running, with_row_id
 
 
 def col_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column, min, max, mean, median), in one scan."""
+    """(column, min, max, mean, median), in one scan and those of the medians."""
     cols = cols or numeric(df)
-    r = df.agg(*[f(F.col(c)).cast("double").alias(f"{c}__{k}") for c in cols for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("median", F.median))])
+    mid = medians(df, cols)
+    r = df.agg(*[f(F.col(c)).cast("double").alias(f"{c}__{k}") for c in cols for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("median", lambda _, m=mid[c]: F.max(F.lit(m).cast("double"))))])
     return r.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{k}").alias(k) for k in ("min", "max", "mean", "median")]) for c in cols])).alias("r")).select("r.*")
 
 
@@ -161,7 +162,8 @@ def wilcoxon_p(n: int, w: float) -> float:
 def significance(df: DataFrame, a: str, b: str, tol: float = 0.001) -> DataFrame:
     """One row: medians, means, deviations, how often a is less, same, greater, t tests, Wilcoxon."""
     d = F.col(a) - F.col(b)
-    r = df.agg(F.median(a).alias("median_a"), F.median(b).alias("median_b"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.stddev_samp(a).alias("dev_a"), F.stddev_samp(b).alias("dev_b"), F.count_if(d < -tol).alias("less"), F.count_if(F.abs(d) <= tol).alias("same"), F.count_if(d > tol).alias("greater")).first().asDict()
+    mid = medians(df, [a, b])
+    r = df.agg(F.max(F.lit(mid[a])).alias("median_a"), F.max(F.lit(mid[b])).alias("median_b"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.stddev_samp(a).alias("dev_a"), F.stddev_samp(b).alias("dev_b"), F.count_if(d < -tol).alias("less"), F.count_if(F.abs(d) <= tol).alias("same"), F.count_if(d > tol).alias("greater")).first().asDict()
     w = wilcoxon_ranks(df, a, b, tol).first()
     n = w["n"] or 0
     r |= t_tests(df, a, b) | {"w_minus": w["w_minus"], "w_plus": w["w_plus"], "wilcoxon_p": wilcoxon_p(n, min(w["w_minus"], w["w_plus"])) if n else 1.0}
@@ -177,7 +179,8 @@ def profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     names = [x.split()[0] for x in fields.split(", ")]
     out = None
     if num:
-        agg = df.agg(F.count(F.lit(1)).alias("__n"), *[e.alias(f"{c}__{k}") for c in num for k, e in (("k", F.count(c)), ("mean", F.avg(c)), ("dev", F.sqrt(variance(c))), ("median", F.median(c)), ("min", F.min(c)), ("max", F.max(c)))])
+        mid = medians(df, num)
+        agg = df.agg(F.count(F.lit(1)).alias("__n"), *[e.alias(f"{c}__{k}") for c in num for k, e in (("k", F.count(c)), ("mean", F.avg(c)), ("dev", F.sqrt(variance(c))), ("median", F.max(F.lit(mid[c]).cast("double"))), ("min", F.min(c)), ("max", F.max(c)))])
         out = agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit("real").alias("kind"), F.col(f"{c}__k").alias("n"), (F.col("__n") - F.col(f"{c}__k")).alias("missing"), *[F.col(f"{c}__{k}").cast("double").alias(k) for k in ("mean", "dev", "median", "min", "max")], F.lit(None).cast("bigint").alias("n_values"), F.lit(None).cast("double").alias("entropy"), F.lit(None).cast("string").alias("mode"), F.lit(None).cast("double").alias("mode_pct")) for c in num])).alias("r")).select("r.*")
     if text:
         n = value_counts(df, text)
@@ -205,7 +208,8 @@ def calc_error(df: DataFrame, a: str, b: str, kind: str = "SSE") -> Column:
 def histogram(df: DataFrame, col: str, bins: int | None = None, group: list[str] | None = None) -> DataFrame:
     """(bin, lo, hi, n, likelihood): equal bins over median +- 4 deviations clipped to the range; by default
     floor(sqrt n) of them, at least 1. Values outside are left out."""
-    r = df.agg(F.count(col).alias("n"), F.median(col).alias("m"), F.stddev_samp(col).alias("d"), F.min(col).alias("a"), F.max(col).alias("z")).first()
+    mid = medians(df, [col])[col]
+    r = df.agg(F.count(col).alias("n"), F.max(F.lit(mid)).alias("m"), F.stddev_samp(col).alias("d"), F.min(col).alias("a"), F.max(col).alias("z")).first()
     if not r["n"]:
         return df.sparkSession.createDataFrame([], "bin bigint, lo double, hi double, n bigint, likelihood double")
     d = r["d"] or 0.0

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .cluster import assign, centroid_step
 from .columns import numeric
 from .linalg import eigenvectors, gram
+from .ordering import with_row_id
 
 
 class Transform:
@@ -223,15 +224,15 @@ class Chain(Transform):
 
 def impute(df: DataFrame, key: str, cols: list[str], rank: int | None = None, seed: int = 0) -> DataFrame:
     """Fill nulls of numeric columns by matrix factorisation over (row, column, value); columns are scaled to
-    [0, 1] first. Known cells stay as they are."""
+    [0, 1] first. Known cells stay as they are. Rows are numbered first, so keys may be of any type."""
     from pyspark.ml.recommendation import ALS
 
     norm = Normalize(cols=cols).fit(df)
-    x = norm.transform(df)
-    long = x.select(F.col(key).cast("int").alias("row"), F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("col", "value"))
+    x = with_row_id(norm.transform(df), [key, *cols], "__row")
+    long = x.select(F.col("__row").cast("int").alias("row"), F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("col", "value"))
     m = ALS(userCol="row", itemCol="col", ratingCol="value", rank=rank or max(2, min(8, len(cols) // 3)), seed=seed, coldStartStrategy="drop").fit(long.filter("value is not null"))
     filled = m.transform(long.filter("value is null")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.col("prediction").cast("double")))).alias("m"))
-    out = x.join(filled, F.col(key).cast("int") == F.col("row"), "left")
+    out = x.join(filled, F.col("__row") == F.col("row"), "left")
     out = out.select([F.coalesce(F.col(c).cast("double"), F.col("m")[F.lit(i)], F.lit(0.5)).alias(c) if (i := cols.index(c) if c in cols else -1) >= 0 else F.col(c) for c in df.columns])
     return norm.untransform(out)
 
