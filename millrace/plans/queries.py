@@ -482,9 +482,11 @@ def gamma_nation(t):
     return x.select("n_nationkey", F.round(expressions.BUILT_IN["gamma"](F.col("x")) / F.pow(F.lit(10.0), "n_nationkey"), 6).alias("g"), F.round(expressions.BUILT_IN["lgamma"](F.col("x")), 6).alias("lg"))
 
 
-@query()
+@query("""WITH x AS (SELECT n_nationkey, n_nationkey / 10.0::DOUBLE AS x FROM nation),
+s AS (SELECT n_nationkey, sum(power(2.0::DOUBLE, n) * power(x, 2 * n + 1) / list_product(list_transform(range(0, n + 1), lambda i: 2.0::DOUBLE * i + 1))) AS s, any_value(x) AS x FROM x, range(0, 80) r(n) GROUP BY 1)
+SELECT n_nationkey, round(2 / sqrt(pi()) * exp(-x * x) * s, 6) AS e FROM s""")
 def erf_nation(t):
-    return t("nation").select("n_nationkey", expressions.BUILT_IN["erf"](F.col("n_nationkey") / 10).alias("e"))
+    return r6(t("nation").select("n_nationkey", expressions.BUILT_IN["erf"](F.col("n_nationkey") / 10).alias("e")))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
@@ -876,15 +878,24 @@ def connected_nations(t):
     return graph.connected(e, n.select(F.col("n_nationkey").alias("node")))
 
 
-@query()
+# paths of h edges from a to b: those of the least h are the shortest ones, and no shortest path has more than 24 edges
+@query(f"""WITH RECURSIVE e AS (SELECT s, d FROM {_TRADE} WHERE c < 900), n AS (SELECT s AS v FROM e UNION SELECT d FROM e),
+w(a, b, h, k) AS (SELECT v, v, 0, 1.0::DOUBLE FROM n UNION ALL SELECT w.a, e.d, w.h + 1, sum(w.k) FROM w JOIN e ON e.s = w.b WHERE w.h < 24 GROUP BY w.a, e.d, w.h + 1),
+p AS (SELECT a, b, min(h) AS h, arg_min(k, h) AS k FROM w GROUP BY a, b),
+r AS (SELECT DISTINCT b FROM p WHERE a <> b),
+x AS (SELECT l.b AS v, sum(l.k * g.k / q.k) AS y FROM p l JOIN p g ON g.a = l.b JOIN p q ON q.a = l.a AND q.b = g.b
+      WHERE l.a <> l.b AND g.a <> g.b AND q.a <> q.b AND l.h + g.h = q.h GROUP BY l.b)
+SELECT CAST(r.b AS BIGINT) AS node, round(coalesce(y, 0), 6) AS betweenness FROM r LEFT JOIN x ON x.v = r.b""")
 def betweenness_trade(t):
-    return graph.betweenness(trade(t).filter("cost < 900"), 25)[0]
+    return r6(graph.betweenness(trade(t).filter("cost < 900"), 25)[0])
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS {_TRADE}, p(a, b, c, h) AS (SELECT n_nationkey, n_nationkey, 0.0::DOUBLE, 0 FROM nation
+  UNION ALL SELECT p.a, e.d, min(p.c + e.c), p.h + 1 FROM p JOIN e ON e.s = p.b WHERE p.h < 24 GROUP BY p.a, e.d, p.h + 1)
+SELECT CAST(a AS INTEGER) AS src, CAST(b AS INTEGER) AS dst, round(min(c), 6) AS cost FROM p GROUP BY a, b""")
 def all_pairs_trade(t):
     d, _ = graph.all_pairs(trade(t), 25)
-    return t("region").sparkSession.createDataFrame([(i, j, float(d[i, j])) for i in range(25) for j in range(25) if np.isfinite(d[i, j])], "src int, dst int, cost double")
+    return r6(t("region").sparkSession.createDataFrame([(i, j, float(d[i, j])) for i in range(25) for j in range(25) if np.isfinite(d[i, j])], "src int, dst int, cost double"))
 
 
 # ---- sequences --------------------------------------------------------------------------------------
@@ -902,15 +913,26 @@ def hmm_events(t):
     return sequence.hmm_columns(event_sequences(t), "seq", sequence.baum_welch(event_sequences(t), "seq", m, 2)).drop("seq")
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, event_id, value, i, coalesce(value, 0) AS level, CASE WHEN value IS NULL THEN 1e6 ELSE 100.0 END::DOUBLE AS level_var FROM x WHERE i = 1
+  UNION ALL SELECT x.user_id, x.event_id, x.value, x.i, CASE WHEN x.value IS NULL THEN f.level ELSE f.level + (f.level_var + 1) / (f.level_var + 101) * (x.value - f.level) END,
+         CASE WHEN x.value IS NULL THEN f.level_var + 1 ELSE (1 - (f.level_var + 1) / (f.level_var + 101)) * (f.level_var + 1) END FROM f JOIN x ON x.user_id = f.user_id AND x.i = f.i + 1)
+SELECT user_id, event_id, round(value, 6) AS value, round(level, 6) AS level, round(level_var, 6) AS level_var FROM f""")
 def level_filter_events(t):
-    return sequence.level_filter(t("events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 1.0, 100.0)
+    return r6(sequence.level_filter(t("events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 1.0, 100.0))
 
 
-@query()
+@query("""WITH s AS (SELECT user_id, list(value ORDER BY event_id) AS x FROM events WHERE value IS NOT NULL GROUP BY 1),
+k AS (SELECT user_id, x, unnest(range(0, len(x) // 2 + 1)) AS k FROM s),
+m AS (SELECT user_id, k, sqrt(power(list_sum(list_transform(x, lambda v, i: v * cos(2 * pi() * k * (i - 1) / len(x)))), 2) + power(list_sum(list_transform(x, lambda v, i: v * sin(2 * pi() * k * (i - 1) / len(x)))), 2)) AS m FROM k),
+l AS (SELECT user_id, list(m ORDER BY k) AS m FROM m GROUP BY 1),
+b AS (SELECT user_id, m, len(m) // 4 AS w, len(m) % 4 AS o FROM l)
+SELECT user_id, list_transform(m, lambda v: round(v, 4)) AS magnitude,
+  list_transform([0, 1, 2, 3], lambda j: round(coalesce(list_avg(list_slice(m, j * w + least(j, o) + 1, (j + 1) * w + least(j + 1, o))), 0), 4)) AS bands FROM b""")
 def fft_events(t):
-    s = t("events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("x"))
-    return s.select("user_id", sequence.fft_magnitude(F.col("x")).alias("magnitude"), sequence.spectrum(F.col("x"), 4).alias("bands"))
+    s = t("events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("event_id", "value")))), lambda x: x["value"]).alias("x"))
+    near = lambda c, name: F.transform(c, lambda v: F.round(v, 4)).alias(name)
+    return s.select("user_id", near(sequence.fft_magnitude(F.col("x")), "magnitude"), near(sequence.spectrum(F.col("x"), 4), "bands"))
 
 
 @query("SELECT i, round(0.5 * sin(i * 2 * pi() * 440 / 8000), 9) AS x FROM range(80) r(i)")
