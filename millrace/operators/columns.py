@@ -216,9 +216,12 @@ def obfuscate(df: DataFrame) -> DataFrame:
     return named.toDF(*[f"attr{i}" for i in range(len(named.columns))])
 
 
-def used_values(df: DataFrame, col: str) -> list:
-    """The values a nominal column really has, ascending."""
-    return sorted(r[0] for r in df.select(col).distinct().filter(F.col(col).isNotNull()).collect())
+def used_values(df: DataFrame, col: str, limit: int = 1_000_000) -> list:
+    """The values a nominal column really has, ascending; more than ``limit`` are refused."""
+    values = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()]
+    if len(values) > limit:
+        raise ValueError(f"more than {limit} values")
+    return sorted(values)
 
 
 def add_noise(df: DataFrame, dev: float, seed: int = 0, exclude_last: int = 0) -> DataFrame:

@@ -67,12 +67,21 @@ def with_fold(df: DataFrame, keys: list[str], k: int, name: str = "fold") -> Dat
     return x.withColumn(name, fold).drop("__i")
 
 
-def split_class(df: DataFrame, col: str, drop: bool = False) -> dict:
-    """A table for each value of a column."""
-    values = [r[0] for r in df.select(col).distinct().orderBy(col).collect()]
+def split_class(df: DataFrame, col: str, drop: bool = False, limit: int = 10_000) -> dict:
+    """A table for each value of a column, null first; more than ``limit`` values are refused. Each table is a filter
+    of its own: to write all of them in one scan, take ``write_classes``."""
+    values = [r[0] for r in df.select(col).distinct().limit(limit + 1).collect()]
+    if len(values) > limit:
+        raise ValueError(f"more than {limit} values; write_classes takes any number")
+    values.sort(key=lambda v: (v is not None, v if v is not None else 0))
     return {v: (lambda x: x.drop(col) if drop else x)(df.filter(F.col(col).eqNullSafe(F.lit(v)))) for v in values}
 
 
+def write_classes(df: DataFrame, col: str, path: str) -> None:
+    """A folder of Parquet files for each value of a column, in one scan; rows of a large class stay spread."""
+    df.write.mode("overwrite").partitionBy(col).parquet(path)
+
+
 def split_value(df: DataFrame, col: str, v: float) -> tuple[DataFrame, DataFrame]:
     """Rows below v and rows of at least v; nulls go to the larger side (the first if equal)."""
     r = df.agg(F.count_if(F.col(col) < v).alias("a"), F.count_if(F.col(col) >= v).alias("b")).first()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import assign, centroid_step
-from .columns import numeric
+from .columns import numeric, used_values
 from .linalg import eigenvectors, gram
 from .ordering import with_row_id
 
@@ -119,7 +119,7 @@ class OneHot(Transform):
 
     def fit(self, df):
         cols = self.state["cols"]
-        self.state["values"] = {c: sorted(r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect()) for c in cols}
+        self.state["values"] = {c: used_values(df, c, self.state.get("limit", 100_000)) for c in cols}
         return self
 
     def transform(self, df):
@@ -170,7 +170,7 @@ class ReplaceWithNoise(Transform):
     def fit(self, df):
         num = numeric(df)
         r = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(num) for k, f in (("m", F.avg), ("d", F.stddev_samp))]).first()
-        self.state |= {"num": {c: [r[f"m{i}"] or 0.0, r[f"d{i}"] or 0.0] for i, c in enumerate(num)}, "text": {c: sorted(x[0] for x in df.select(c).filter(F.col(c).isNotNull()).distinct().collect()) for c in df.columns if c not in num}}
+        self.state |= {"num": {c: [r[f"m{i}"] or 0.0, r[f"d{i}"] or 0.0] for i, c in enumerate(num)}, "text": {c: used_values(df, c, self.state.get("limit", 100_000)) for c in df.columns if c not in num}}
         return self
 
     def transform(self, df):

@@ -347,7 +347,7 @@ def eigenvalues_lineitem(t):
     return local(t, [(i, round(float(x), 3)) for i, x in enumerate(w)], "i int, value double")
 
 
-@query("WITH g AS (SELECT sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_discount) AS b, sum(l_discount * l_discount) AS d FROM lineitem), l AS (SELECT *, (a + d + sqrt(power(a - d, 2) + 4 * b * b)) / 2 AS top FROM g) SELECT 0 AS i, round(sqrt(top), 3) AS value, round(1, 6) AS unit FROM l UNION ALL SELECT 1, round(sqrt((a * d - b * b) / top), 3), 1 FROM l")
+@query("WITH g AS (SELECT sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_discount) AS b, sum(l_discount * l_discount) AS d FROM lineitem), l AS (SELECT *, (a + d + sqrt(power(a - d, 2) + 4 * b * b)) / 2 AS top FROM g) SELECT 0 AS i, round(sqrt(top), 3) AS value, 1.0::DOUBLE AS unit FROM l UNION ALL SELECT 1, round(sqrt((a * d - b * b) / top), 3), 1.0::DOUBLE FROM l")
 def singular_values_lineitem(t):
     u, s, _ = linalg.svd(t("lineitem"), _TWO)
     unit = u.agg(F.sum(F.col("u0") ** 2), F.sum(F.col("u1") ** 2)).first()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import cluster, distributions, filters, ordered, sampling, stats, transforms
+from millrace.operators import cluster, columns, distributions, evaluate, filters, ordered, recommend, sampling, stats, transforms
 from millrace.operators.ordering import medians
 
 
@@ -74,3 +74,48 @@ def test_transduction_weighs_given_and_new_labels(spark):
     for f in (cluster.neighbour_transduction, cluster.constrained_linkage, cluster.graph_cut_transduction):
         with pytest.raises(ValueError):
             f(df, "id", ["x"], "label", limit=5)
+
+
+def test_classes_in_one_scan(spark, tmp_path):
+    df = spark.createDataFrame([(i, "xyz"[i % 3] if i % 4 else None) for i in range(40)], "id int, kind string")
+    parts = sampling.split_class(df, "kind")
+    assert list(parts) == [None, "x", "y", "z"] and sum(p.count() for p in parts.values()) == 40
+    assert list(sampling.split_class(df.limit(0), "kind")) == []
+    sampling.write_classes(df, "kind", str(tmp_path / "c"))
+    back = spark.read.parquet(str(tmp_path / "c"))
+    assert sorted(map(tuple, back.select("id", "kind").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    with pytest.raises(ValueError):
+        sampling.split_class(df, "kind", limit=3)
+    with pytest.raises(ValueError):
+        columns.used_values(df, "kind", limit=2)
+    assert columns.used_values(df, "kind", limit=3) == ["x", "y", "z"]
+
+
+def test_sampled_curve_is_that_of_all_points(spark):
+    rng = np.random.default_rng(8)
+    rel = rng.random(3000) < 0.3
+    score = np.round(rng.normal(size=3000) + rel, 2)
+    df = spark.createDataFrame([(i, float(s), "p" if r else "n") for i, (s, r) in enumerate(zip(score, rel))], "id int, s double, y string")
+
+    class Given:
+        def fit(self, df):
+            return self
+
+        def predict(self, df):
+            return df.withColumn("score", F.col("s"))
+
+    got = evaluate.cross_precision_recall(Given, df, "y", "p", lambda p: p, ["id"], reps=1, samples=21)
+    half = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(2))
+    curves = []
+    for side in (1, 0):
+        p = df.filter(half == side).withColumn("r", (F.col("y") == "p").cast("int"))
+        curves.append([(x["recall"], x["precision"]) for x in evaluate.precision_recall(p, "s", "r").collect()])
+    assert len(curves[0]) > 200 and np.array(got) == pytest.approx(np.array(evaluate.mean_curve(curves, 21)))
+
+
+def test_boosted_sends_the_smaller_side(spark):
+    r = spark.createDataFrame([(u, i, float(u + 2 * i)) for u in range(3) for i in range(40) if (u + i) % 5], "user int, item int, rating double")
+    items = spark.createDataFrame([(i, float(i)) for i in range(40)], "item int, p double")
+    for a in (r, r.filter("user < 1")):
+        got = recommend.predict_boosted(a, items, a.select("user", "item"), ["p"])
+        assert got.count() == a.count() and got.filter("prediction is null").count() == 0
