@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,61 @@ def random_walk(spark: SparkSession, n: int, step: float = 0.05, seed: int = 0)
     return running(x, ["id"], {"s": F.col("action")}).select("id", "action", (F.lit(0.5) + F.col("s") * step).alias("position"))
 
 
+def grid_walk(spark: SparkSession, n: int, width: int, height: int, start: tuple[int, int] | None = None, seed: int = 0, block: int = 65_536, limit: int = 50_000_000) -> DataFrame:
+    """(id, x, y, action): a walk over a grid, at first in the middle; actions 0 to 3 go left, right, up and down,
+    each as likely as any other that stays on the grid.
+
+    Steps are dealt in blocks. A first pass follows each block from every cell, so that the driver can chain the
+    blocks by one number a cell (at most ``limit`` numbers together); a second pass walks each block from its start."""
+    cells, blocks = width * height, -(-n // block)
+    x0, y0 = start or (width // 2, height // 2)
+    if cells < 2:
+        raise ValueError("a walk needs two cells")
+    if not (0 <= x0 < width and 0 <= y0 < height):
+        raise ValueError("the start is off the grid")
+    if cells * blocks > limit:
+        raise ValueError(f"{cells} cells by {blocks} blocks; the limit is {limit}")
+    steps = ((-1, 0), (1, 0), (0, -1), (0, 1))
+    ways = [[(a, (y + dy) * width + x + dx) for a, (dx, dy) in enumerate(steps) if 0 <= x + dx < width and 0 <= y + dy < height] for y in range(height) for x in range(width)]
+    many = np.array([len(w) for w in ways])
+    goal = np.array([[g for _, g in w] + [0] * (4 - len(w)) for w in ways])
+    draws = lambda b: np.random.Generator(np.random.Philox(key=seed, counter=b << 64)).random(min(block, n - b * block))
+
+    def ends(batches):
+        for pdf in batches:
+            for b in pdf["id"].tolist():
+                at = np.arange(cells)
+                for u in draws(b):
+                    at = goal[at, (u * many[at]).astype(int)]
+                yield pd.DataFrame({"id": [b], "ends": [at.tolist()]})
+
+    begin, at = [], y0 * width + x0
+    last = dict(map(tuple, spark.range(blocks - 1, numPartitions=blocks - 1).mapInPandas(ends, "id bigint, ends array<bigint>").collect())) if blocks > 1 else {}
+    for b in range(blocks):
+        begin.append(at)
+        at = last[b][at] if b in last else at
+
+    def walk(batches):
+        for pdf in batches:
+            for b in pdf["id"].tolist():
+                c, seen, acts = begin[b], [], []
+                for u in draws(b).tolist():
+                    a, to = ways[c][int(u * len(ways[c]))]
+                    seen.append(c)
+                    acts.append(a)
+                    c = to
+                seen = np.array(seen)
+                yield pd.DataFrame({"id": b * block + np.arange(len(seen)), "x": seen % width, "y": seen // width, "action": acts})
+
+    return spark.range(blocks, numPartitions=max(1, blocks)).mapInPandas(walk, "id bigint, x bigint, y bigint, action int")
+
+
+def grid_observations(walk: DataFrame, table: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """The walk with the row of the table (numbered by its keys, ``width`` rows a line of the grid) seen at each step."""
+    rows = with_row_id(table, keys, "__cell")
+    return walk.withColumn("__cell", F.col("y") * width + F.col("x")).join(rows, "__cell").drop("__cell")
+
+
 def random_sequence(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """(position, value): the numbers 0..n-1 in pseudorandom order."""
     x = spark.range(n).select(F.col("id").alias("value"), F.xxhash64("id", F.lit(seed)).alias("h"))

@@ -620,6 +620,19 @@ def optimisers_meet(t):
     return local(t, [(k, round(float(v[0]), 1) + 0.0, round(float(v[1]), 1) + 0.0) for k, v in got.items()], "name string, x double, y double")
 
 
+@query("SELECT 5000 AS steps, 0 AS jumps, 25 AS cells, 12 AS first_cell, 0 AS other_rows FROM (SELECT count(*) AS n FROM nation)")
+def grid_walk_nations(t):
+    """5,000 steps over a grid of 5 x 5 nations: each goes one cell on, as its action says, and sees the nation there."""
+    w = generate.grid_walk(t("region").sparkSession, 5000, 5, 5, seed=3, block=700)
+    seen = generate.grid_observations(w, t("nation"), ["n_nationkey"], 5)
+    dx, dy = (F.element_at(F.array(*map(F.lit, v)), F.col("action") + 1) for v in ((-1, 1, 0, 0), (0, 0, -1, 1)))
+    after = w.select((F.col("id") - 1).alias("id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    jumps = w.join(after, "id").agg(F.count_if((F.col("nx") != F.col("x") + dx) | (F.col("ny") != F.col("y") + dy)).alias("jumps"))
+    cell = F.col("y") * 5 + F.col("x")
+    r = seen.agg(F.count(F.lit(1)), F.count_distinct(cell), F.min(F.when(F.col("id") == 0, cell)), F.count_if(cell != F.col("n_nationkey"))).first()
+    return local(t, [(r[0], jumps.first()["jumps"], r[1], r[2], r[3])], "steps int, jumps int, cells int, first_cell int, other_rows int")
+
+
 # ---- evaluation -------------------------------------------------------------------------------------
 
 

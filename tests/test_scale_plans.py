@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import cluster, columns, distributions, evaluate, filters, ordered, recommend, sampling, stats, transforms
+from millrace.operators import cluster, columns, distributions, evaluate, filters, generate, ordered, recommend, sampling, stats, transforms
 from millrace.operators.ordering import medians
 
 
@@ -119,3 +119,41 @@ def test_boosted_sends_the_smaller_side(spark):
     for a in (r, r.filter("user < 1")):
         got = recommend.predict_boosted(a, items, a.select("user", "item"), ["p"])
         assert got.count() == a.count() and got.filter("prediction is null").count() == 0
+
+
+def test_grid_walk(spark):
+    got = [tuple(r) for r in generate.grid_walk(spark, 4001, 4, 3, seed=5, block=512).orderBy("id").collect()]
+    assert [r[0] for r in got] == list(range(4001)) and got[0][1:3] == (2, 1)
+    move = {0: (-1, 0), 1: (1, 0), 2: (0, -1), 3: (0, 1)}
+    for a, b in zip(got, got[1:]):
+        assert (a[1] + move[a[3]][0], a[2] + move[a[3]][1]) == b[1:3]
+    # a cell is visited in proportion to its ways out
+    n = np.zeros((3, 4))
+    for r in got:
+        n[r[2], r[1]] += 1
+    ways = np.array([[2, 3, 3, 2], [3, 4, 4, 3], [2, 3, 3, 2]])
+    assert np.abs(n / n.sum() - ways / ways.sum()).max() < 0.03
+    assert got == [tuple(r) for r in generate.grid_walk(spark, 4001, 4, 3, seed=5, block=512).orderBy("id").collect()]
+    assert generate.grid_walk(spark, 0, 4, 3).count() == 0
+    with pytest.raises(ValueError):
+        generate.grid_walk(spark, 10, 1, 1)
+
+
+def test_sparse_medoids_against_all_choices(spark):
+    rng = np.random.default_rng(2)
+    m = np.where(rng.random((14, 9)) < 0.5, rng.normal(size=(14, 9)), 0)
+    m[:7, 0] += 6
+    m[7:, 1] += 6
+    m[13] = 0
+    i, j = np.nonzero(m)
+    t = spark.createDataFrame([(int(a), int(b), float(m[a, b])) for a, b in zip(i, j)] + [(13, 0, 0.0), (0, 2, None)], "row bigint, key bigint, value double")
+    got, med = cluster.sparse_k_medoids(t, 2)
+    norm = np.linalg.norm(m, axis=1)
+    d = 1 - m @ m.T / np.maximum(np.outer(norm, norm), 1e-300)
+    np.fill_diagonal(d, 0)
+    cost = lambda c: d[:, list(c)].min(1).sum()
+    assert cost(med) == pytest.approx(min(cost((a, b)) for a in range(14) for b in range(a)))
+    assert {r["row"]: r["cluster"] for r in got.collect()} == {a: int(d[a, med].argmin()) for a in range(14)}
+    assert cluster.sparse_k_medoids(t.limit(0), 2)[1] == []
+    with pytest.raises(ValueError):
+        cluster.sparse_k_medoids(t, 2, limit=3)
