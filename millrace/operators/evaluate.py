@@ -82,6 +82,7 @@ def cross_precision_recall(make, df: DataFrame, label: str, positive, score, key
     return mean_curve(curves, samples)
 
 
-def top_k(df: DataFrame, group: list[str], score: str, k: int) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(F.desc(score))
+def top_k(df: DataFrame, group: list[str], score: str, k: int, ties: list[str] | None = None) -> DataFrame:
+    """The k rows of the highest score of each group; equal scores go by ``ties``, or else in no order."""
+    w = Window.partitionBy(*group).orderBy(F.desc(score), *(ties or []))
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
