@@ -14,3 +14,22 @@ def test_top_k_breaks_ties_by_event(spark, tmp_path):
     got = sorted(tuple(r) for r in entry.queries()["top_k_events"](spark, str(tmp_path)).collect())
     want = [(u, e, v, k) for u in range(3) for k, (v, e) in enumerate(sorted(((v, e) for e, w, v in rows if w == u), key=lambda r: (-r[0], r[1]))[:3], 1)]
     assert got == sorted(want)
+
+
+def test_baseline_of_all_pairs_moves_no_pair(spark, tmp_path):
+    spark.createDataFrame([(o, o % 7) for o in range(60)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(i % 60, i % 11, float(i % 13)) for i in range(300)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        x = entry.queries()["recommend_baseline"](spark, str(tmp_path))
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.split("CartesianProduct")[0]
+        got = {(r["user"], r["item"]): r["prediction"] for r in x.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rates: dict = {}
+    for o, i, q in lines:
+        rates.setdefault(i, {}).setdefault(o % 7, []).append(q)
+    want = {i: np.mean([np.mean(v) for v in m.values()]) for i, m in rates.items()}
+    assert len(got) == 7 * 11 and all(p == pytest.approx(want[i], abs=1e-6) for (_, i), p in got.items())
