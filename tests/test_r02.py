@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from millrace.operators import cluster, distance
+from millrace.operators import cluster, distance, recommend
 from millrace.sources import tables
 
 
@@ -125,3 +125,15 @@ def test_sparse_similarity_moves_no_pair(spark, monkeypatch):
                 n, d = np.sqrt((v * v).sum() * (w * w).sum()), ((v - w) ** 2).sum()
                 want[pair] = ((v * w).sum() / n if n else 0.0) if metric == "cosine" else (1 / d if d else 1e12), len(vs)
             assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_users_who_rated_meet_without_moving_pairs(spark, monkeypatch):
+    monkeypatch.setattr(distance._meetings, "__defaults__", (60,))  # several blocks
+    rng = np.random.default_rng(8)
+    cells = {(int(u), int(i)): float(v) for u, i, v in zip(rng.integers(0, 50, 500), rng.zipf(1.5, 500) % 40, rng.integers(-2, 5, 500))}
+    r = spark.createDataFrame([(u, i, v) for (u, i), v in cells.items()], "user int, item int, rating double")
+    x = recommend.predict_users_rated(r, 3)
+    assert "Join" not in x._jdf.queryExecution().executedPlan().toString()
+    got = {(u, i): p for u, i, p in x.collect()}
+    want = {(u, i): p for u, i, p in recommend.predict_users(r, r.select("user", "item"), 3).collect()}
+    assert got.keys() == want.keys() == cells.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
